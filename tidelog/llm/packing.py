@@ -8,6 +8,7 @@ their place in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,71 @@ RANK_ROWS = 512
 _caches: dict[str, PieceCache] = {}
 
 
+#: A run of letters, then a run of marks: what the vocabulary's pre-tokeniser makes of such a word is these two parts, the
+#: letters in lower case. Letters are those of Latin scripts that composition and lower-casing leave single.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*)([!-&(-/:-@\\[-`{-~]*)")
+_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
+_SHOW = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_BYTES))}
+
+
+def _ids(found: list) -> list[bytes]:
+    return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+
+class Merges:
+    """The vocabulary's merges over bytes, many parts to a call, by tiktoken's merge loop.
+
+    A part's last symbol is marked by a zero byte, merged first of all. That loop merges by the merged text's rank, where
+    the vocabulary names pairs. Both agree where every token, taken alone, comes out of its own merges as one token: what
+    lies between two boundaries merges as it does alone, so no other pair with that text ever stands there. `sound`
+    checks this for all tokens.
+    """
+
+    def __init__(self, tokenizer: str):
+        import json
+
+        import tiktoken
+
+        model = json.loads(open(tokenizer, encoding="utf-8").read())["model"]
+        back = {c: bytes([b]) for b, c in _SHOW.items()}
+        raw = lambda t: b"".join(map(back.__getitem__, t.removesuffix("</w>"))) + b"\0" * t.endswith("</w>")
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        made = [*(_SHOW[b] + "</w>" for b in range(256)), *(x + y for x, y in merges)]
+        single = [_SHOW[b] for b in range(256)]
+        self.names = [*made, *single]
+        ranks = {raw(t): k for k, t in enumerate(made)} | {bytes([b]): len(made) + b for b in range(256)}
+        self.id_of = np.array([model["vocab"][t] for t in self.names], "<u4")
+        self.ends = np.array([t.endswith("</w>") for t in self.names])
+        self.coder = tiktoken.Encoding("merges", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(parts), 4000):
+            own = parts[a : a + 4000]
+            found = np.array(self.coder.encode_ordinary("\0 ".join(own) + "\0"), np.int64)
+            stops = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
+            raw = self.id_of[found].tobytes()
+            out += [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        return out
+
+
+def sound(tokenizer: str) -> bool:
+    """Whether every token of the vocabulary, taken alone, is one token: see Merges."""
+    import json
+
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    model = json.loads(open(tokenizer, encoding="utf-8").read())["model"]
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    made = [x + y for x, y in merges]
+    last, inner = (Tokenizer(BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": "</w>"} if s else {}))) for s in (True, False))
+    one = lambda tk, texts, names: all(x.ids == [model["vocab"][n]] for x, n in zip(tk.encode_batch(texts), names, strict=True))
+    tails, others = [t for t in made if t.endswith("</w>")], [t for t in made if not t.endswith("</w>")]
+    return len(set(made)) == len(made) and one(last, [t.removesuffix("</w>") for t in tails], tails) and one(inner, others, others)
+
+
 def _cache(tokenizer: str) -> PieceCache:
     if tokenizer not in _caches:
         import os
@@ -33,11 +99,24 @@ def _cache(tokenizer: str) -> PieceCache:
 
         tk = Tokenizer.from_file(tokenizer)
 
-        def encode(words: list[bytes]) -> list[bytes]:
-            found = tk.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+        merges = Merges(tokenizer)
 
-        _caches[tokenizer] = PieceCache(encode)
+        def encode(words: list[bytes]) -> list[bytes]:
+            out: dict[bytes, bytes] = {}
+            rest, parts = [], {}
+            for w in words:
+                m = _PLAIN.fullmatch(w.decode())
+                if m:
+                    parts[w] = tuple(p for p in (m[1].lower(), m[2]) if p)
+                else:
+                    rest.append(w)
+            own = list({p for x in parts.values() for p in x})
+            ids = dict(zip(own, merges(own) if own else [], strict=True))
+            out.update((w, b"".join(ids[p] for p in x)) for w, x in parts.items())
+            out.update(zip(rest, _ids(tk.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)), strict=True))
+            return [out[w] for w in words]
+
+        _caches[tokenizer] = PieceCache(encode, 48 << 20, 600_000)
     return _caches[tokenizer]
 
 
