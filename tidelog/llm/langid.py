@@ -8,6 +8,7 @@ language, and broadcast; all documents are scored whole, in Arrow batches, witho
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,21 +156,21 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES)
     """From labelled documents outside the held-out fold: per language, those with the smallest hashed ids."""
     keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= most_bytes)).select("doc_id", "lang")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # each task passes on at most per_lang a language
-    few = keys.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_lang).select("doc_id", F.col("lang").alias("label"))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").filter("lang = label").select("label", "doc_id", "text").collect()  # at most per_lang x most_bytes a language
+    few = keys.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_lang).select("doc_id", F.col("lang").alias("label")).distinct()
+    held = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").filter((F.col("lang") == F.col("label")) & (F.octet_length("text") <= most_bytes))
+    rows = held.groupBy("label", "doc_id").agg(F.min("text").alias("text")).collect()  # at most per_lang x most_bytes a language, however often a row repeats
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["label"], r["doc_id"])):
         samples.setdefault(r["label"], []).append((r["text"] or "").encode())
     return Model(samples)
 
 
-def classify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score. und, with score 0: the text is null, has no letter, or no language was learned."""
+def classify(docs: DataFrame, model: Model, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns `keep` of docs with a prediction and its score. und, with score 0: the text is null, has no letter, or no language was learned."""
     spark = docs.sparkSession
-    Scratch(spark)
+    mine = f"__{Scratch(spark).root[-8:]}"
     held = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    mine = "__langid_text"
+    schema = docs.select(*keep).schema.add(pred, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -188,7 +189,7 @@ def classify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     # The odds as if the text's mean evidence were that of at most 64 bytes.
                     scores.append(float(1 / np.exp2(-(own - own[k]) * min(1, 64 / len(d))).sum()))
             cols = [c for c in b.schema.names if c != mine]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*cols, pred, score])
 
     return docs.select(*keep, F.col("text").alias(mine)).mapInArrow(run, schema)
 
@@ -207,6 +208,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without those in no learned language (und) or with a score under `least`; columns as they are."""
-    if set(docs.columns) & {"lang_pred", "score"}:
-        raise ValueError("lang_pred and score are taken")
-    return classify(docs, fit(docs), docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+    mine = f"__{uuid.uuid4().hex}"
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    out = classify(docs, fit(known), docs.columns, f"{mine}_pred", f"{mine}_score")
+    return out.filter((F.col(f"{mine}_pred") != "und") & (F.col(f"{mine}_score") >= least)).select(*docs.columns)

@@ -5,6 +5,9 @@ in some bucket keyed by `agree` <= blocks - radius whole blocks. Within a bucket
 holds one bit of 64 fingerprints. Distances grow in carry-save counters, and words whose 64 distances all exceed the
 radius are abandoned. A bucket gives a spanning forest of its links, never all pairs, which keeps every component. Buckets
 over TILE are dealt out as pairs of tiles, so no task holds more than two tiles, and no link is lost.
+
+64 bits are too few for a wide radius: of very many documents, some pairs without a word in common are within it. Further
+words can be drawn from the same shingles; a link then needs `wide` or fewer differing bits in all words as well.
 """
 
 from __future__ import annotations
@@ -17,25 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, by_bytes, texts
+from tidelog.llm.common import Scratch, by_bytes, sized, texts
 from tidelog.llm.components import components
 
 #: Fingerprints of one bucket that are compared in one task at most, twice.
 TILE = 8192
 #: Up to so many, a bucket is compared pair by pair.
 FEW = 12
+#: Lanes, of 64 distances each, that are held at once.
+LANES = 1 << 17
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """A bit is 1 if set in over half of the shingles' XXH64; no word: zero."""
-    return int(fingerprints([text], words)[0])
-
-
-def fingerprints(docs: list[bytes], words: int) -> np.ndarray:
+def fingerprints(docs: list[bytes], words: int, more: int = 0) -> np.ndarray:
+    """(texts, 1 + more): a bit is 1 if set in over half of the shingles' XXH64, in further words of a number mixed from it; no word: zero."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(docs), np.uint64)
+    out = np.zeros((len(docs), 1 + more), np.uint64)
     for k, text in enumerate(docs):
         own = text.lower().split()  # bytes: A-Z only, and ASCII white space only
         if not own:
@@ -44,85 +45,131 @@ def fingerprints(docs: list[bytes], words: int) -> np.ndarray:
         n = max(1, len(own) - words + 1)
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
-        counts = np.zeros(64, np.int64)
+        counts = np.zeros((1 + more, 64), np.int64)
         last = ends[words - 1 :].tolist() if len(own) >= words else [len(whole)]
         for i in range(0, n, 65536):
             h = np.array([xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts[i : min(n, i + 65536)], last[i : i + 65536], strict=False)], np.uint64)
-            counts += _bit_counts(h)
-        out[k] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
+            for j in range(1 + more):
+                counts[j] += _bit_counts(mixed(h, j) if j else h)
+        out[k] = np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
+def mixed(h: np.ndarray, j: int) -> np.ndarray:
+    """The j-th number drawn from each hash, by SplitMix64's finisher."""
+    z = h + np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
 def _bit_counts(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
     """(64, words): bit j of word w of plane b is bit b of fingerprint 64 w + j."""
-    n = -(-len(prints) // 64) * 64
-    bits = np.unpackbits(np.ascontiguousarray(np.pad(prints, (0, n - len(prints)))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def near(planes: np.ndarray, queries: np.ndarray, radius: int, valid: np.ndarray) -> np.ndarray:
-    """One bit for each fingerprint: some query is within the radius. valid: bits still sought."""
-    out, wide = np.zeros(planes.shape[1], np.uint64), radius.bit_length()
-    sought = np.flatnonzero(valid)
-    step = max(1, (1 << 18) // max(1, len(sought)))
-    limit = [_ALL if radius + 1 >> i & 1 else np.uint64(0) for i in range(wide + 1)]
-    for q0 in range(0, len(queries), step):
-        q = queries[q0 : q0 + step]
-        w = np.tile(sought, len(q))
-        qi = np.repeat(np.arange(len(q)), len(sought))
-        alive = valid[w]
-        counters = np.zeros((wide + 1, len(w)), np.uint64)
-        for bit in range(64):
-            carry = planes[bit][w] ^ (np.uint64(0) - (q[qi] >> np.uint64(bit) & np.uint64(1)))
-            for c in counters[:-1]:
-                np.bitwise_and(c, carry, out=(both := np.empty_like(carry)))
-                c ^= carry
-                carry = both
-            counters[-1] |= carry
-            # Over the radius: the counter reached radius + 1, compared from its highest bit; it is then gone for good.
-            reached, equal = counters[-1].copy() if not limit[-1].any() else np.zeros_like(carry), np.full_like(carry, _ALL) if not limit[-1].any() else counters[-1].copy()
-            for i in range(wide - 1, -1, -1):
+def within(planes: np.ndarray, prints: np.ndarray, word: np.ndarray, query: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """Lanes (word, query, alive) in which something is left: bits of `alive` stay where the query is within the radius.
+
+    planes: (64 k, words) of the k columns of prints. Each lane adds one bit of 64 distances at a time.
+    """
+    wide = radius.bit_length()
+    limit = [radius + 1 >> i & 1 for i in range(wide + 1)]
+    counters = np.zeros((wide + 1, len(word)), np.uint64)
+    for bit in range(len(planes)):
+        carry = planes[bit][word] ^ (np.uint64(0) - (prints[query, bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)))
+        for c in counters[:-1]:
+            both = c & carry
+            c ^= carry
+            carry = both
+        counters[-1] |= carry
+        if bit % 4 == 3:
+            # Over the radius: the counter reached radius + 1, compared from its highest bit; what reached it stays there.
+            over, equal = np.zeros_like(alive), np.full_like(alive, _ALL)
+            for i in range(wide, -1, -1):
                 if limit[i]:
                     equal &= counters[i]
                 else:
-                    reached |= equal & counters[i]
-            alive &= ~(reached | equal)
-            if bit % 4 == 3 and bit < 63:
-                stay = alive != 0
-                if not stay.all():
-                    w, qi, alive, counters = w[stay], qi[stay], alive[stay], np.ascontiguousarray(counters[:, stay])
-                    if not len(w):
-                        break
-        if len(w):
-            np.bitwise_or.at(out, w, alive)
-    return out
+                    over |= equal & counters[i]
+            alive = alive & ~(over | equal)
+            stay = alive != 0
+            if not stay.all():
+                word, query, alive, counters = word[stay], query[stay], alive[stay], np.ascontiguousarray(counters[:, stay])
+                if not len(word):
+                    break
+    return word, query, alive
 
 
-def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join what the radius joins among distinct fingerprints: each is queried once."""
-    planes, n = planes_of(prints), len(prints)
-    unseen = np.packbits(np.pad(np.ones(n, np.uint8), (0, -n % 64)), bitorder="little").view("<u8").copy()
-    seen = np.zeros(n, bool)
-    a, b = [], []
-    for seed in range(n):
-        if seen[seed]:
-            continue
-        front = np.array([seed])
-        while len(front):
-            seen[front] = True
-            np.bitwise_and.at(unseen, front >> 6, ~(np.uint64(1) << (front & 63).astype(np.uint64)))
-            hit = near(planes, prints[front], radius, unseen)
-            front = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")[:n])
-            a.append(np.full(len(front), seed))
-            b.append(front)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def forest(prints: np.ndarray, sizes: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join, within each bucket of so many rows, what the radius joins: no more than there are rows.
+
+    prints: (rows, columns). The first column is compared with radius; where there are more, all with `wide`.
+    """
+    words = -(-sizes // 64)
+    ends = np.cumsum(words)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(prints)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 64 * (ends - words)[bucket]
+    total = int(ends[-1])
+    laid = np.zeros((64 * total, prints.shape[1]), np.uint64)
+    laid[place] = prints
+    row_of = np.zeros(64 * total, np.int64)
+    row_of[place] = np.arange(len(prints))
+    there = np.zeros(64 * total, np.uint8)
+    there[place] = 1
+    there = np.packbits(there, bitorder="little").view("<u8")
+    columns = [planes_of(laid[:, j]) for j in range(prints.shape[1])]
+    planes, every = columns[0], np.concatenate(columns)
+    first = place >> 6
+    lanes = ends[bucket] - first  # each row against its own word and those behind it
+    label, a, b = np.arange(len(prints)), [], []
+    steps = np.cumsum(lanes)
+    begin = 0
+    while begin < len(prints):
+        end = max(begin + 1, int(np.searchsorted(steps, (steps[begin - 1] if begin else 0) + LANES, "right")))
+        own = lanes[begin:end]
+        query = np.repeat(np.arange(begin, end), own)
+        word = first[query] + np.arange(len(query)) - np.repeat(np.cumsum(own) - own, own)
+        alive = there[word]
+        at = np.cumsum(own) - own
+        alive[at] &= ~((np.uint64(2) << (place[begin:end] & 63).astype(np.uint64)) - np.uint64(1))  # its own word: what lies behind it
+        word, query, alive = within(planes, prints, word, query, alive, radius)
+        if len(columns) > 1 and len(word):
+            word, query, alive = within(every, prints, word, query, alive, wide)
+        for i in range(0, len(word), 1 << 14):  # at most 64 pairs a lane
+            bits = np.unpackbits(np.ascontiguousarray(alive[i : i + (1 << 14)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            lane, bit = np.nonzero(bits)
+            _hook(label, query[i + lane], row_of[64 * word[i + lane] + bit], a, b)
+        begin = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _hook(label: np.ndarray, x: np.ndarray, y: np.ndarray, a: list, b: list) -> None:
+    """Joins x and y in label (each row's root), adding a link for every root that gets another."""
+    while len(x):
+        u, v = label[x], label[y]
+        differ = u != v
+        x, y, u, v = x[differ], y[differ], u[differ], v[differ]
+        if not len(x):
+            return
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        np.minimum.at(label, high, low)  # roots only: a root's label is itself or now a smaller root
+        moved = np.unique(high)
+        a.append(moved)
+        b.append(label[moved])
+        while True:  # to the roots again
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
+def _links(batches: Iterator[pa.RecordBatch], columns: list[str], radius: int, wide: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by bucket (key, pair of tiles), each bucket's links as pairs of representatives."""
 
     def found(key: np.ndarray, prints: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
@@ -135,19 +182,21 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             i = np.flatnonzero((group[:-d] == group[d:]) & few[:-d])
             if not len(i):
                 break
-            i = i[np.bitwise_count(prints[i] ^ prints[i + d]) <= radius]
+            apart = np.bitwise_count(prints[i] ^ prints[i + d])
+            i = i[(apart[:, 0] <= radius) & (apart.sum(1) <= wide)]
             a.append(rep[i])
             b.append(rep[i + d])
-        for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            x, y = forest(prints[s : s + n], radius)
-            a.append(rep[s + x])
-            b.append(rep[s + y])
+        if not few.all():
+            own = np.flatnonzero(~few)
+            x, y = forest(prints[own], sizes[sizes > FEW], radius, wide)
+            a.append(rep[own[x]])
+            b.append(rep[own[y]])
         none = np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        now = [np.stack([batch.column(c).to_numpy() for c in ("key", "lot")], 1), batch.column("print").to_numpy().view(np.uint64), batch.column("rep").to_numpy()]
+        now = [np.stack([batch.column(c).to_numpy() for c in ("key", "lot")], 1), np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], 1), batch.column("rep").to_numpy()]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
@@ -161,60 +210,69 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield found(*held)
 
 
-def near_links(reps: DataFrame, scratch: Scratch, radius: int, blocks: int, agree: int) -> DataFrame:
-    """(a, b): links between representatives, of reps (print, rep) with distinct fingerprints."""
+def near_links(reps: DataFrame, scratch: Scratch, radius: int, blocks: int, agree: int, wide: int = 0) -> DataFrame:
+    """(a, b): links between representatives, of reps (print, further words print1.., rep) with distinct fingerprints."""
     if agree > blocks - radius:
         raise ValueError("pairs within the radius may agree on fewer blocks")
+    columns = [c for c in reps.columns if c.startswith("print")]
+    wide = wide if len(columns) > 1 else radius
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for t, own in enumerate(combinations(range(blocks), agree)):
         mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in own)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(mask))))
-    spread = reps.select(F.explode(F.array(*keys)).alias("key"), "print", "rep")
-    sizes = spread.groupBy("key").agg(F.count("*").alias("n"))
+    spread = reps.select(F.explode(F.array(*keys)).alias("key"), *columns, "rep")
+    sizes = reps.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     big = scratch.save(sizes.filter(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "big")
     if big.isEmpty():
-        dealt = spread.select("key", F.lit(0).cast("long").alias("lot"), "print", "rep")
+        dealt = spread.select("key", F.lit(0).cast("long").alias("lot"), *columns, "rep")
     else:
-        from tidelog.llm.common import sized
-
-        tagged = spread.join(sized(big), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.expr("pmod(xxhash64(print), tiles)"))
+        tagged = spread.join(sized(big), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.expr("pmod(xxhash64(rep), tiles)"))
         lots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda j: F.least(F.col("tile"), j) * F.col("tiles") + F.greatest(F.col("tile"), j))
-        dealt = tagged.select("key", F.explode(lots).alias("lot"), "print", "rep")
+        dealt = tagged.select("key", F.explode(lots).alias("lot"), *columns, "rep")
     rows = dealt.repartition("key", "lot").sortWithinPartitions("key", "lot")
-    return rows.mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
+    return rows.mapInArrow(lambda batches: _links(batches, columns, radius, wide), "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, more: int = 0, wide: int = 0) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Null, empty and all-white texts have fingerprint zero and link like any other. Texts of fewer words than a shingle
     are one shingle. Rows that repeat stay rows. component_id is the smallest doc_id reachable; a row with a null doc_id
-    takes its fingerprint's component, and only null ones among themselves have none. Only doc_id and text are read.
+    takes its fingerprint's component, and only null ones among themselves have none. With `more` further words, a link
+    needs `wide` or fewer differing bits in all words, besides `radius` in the first. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    columns = ["print", *(f"print{j}" for j in range(1, more + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = texts(b)
-            parts = [fingerprints(t[x:y], words) for x, y in by_bytes(t, 4 << 20)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))], ["doc_id", "print"])
-
-    prints = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long"), "prints")
-    reps = scratch.save(prints.filter("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
-    found = components(near_links(reps, scratch, radius, blocks, agree), scratch)
-    labels = reps.join(found, reps["rep"] == found["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+            parts = [fingerprints(t[x:y], words, more) for x, y in by_bytes(t, 4 << 20)]
+            made = np.concatenate([np.zeros((0, 1 + more), np.uint64), *parts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, np.ascontiguousarray(made.T))], ["doc_id", *columns])
+
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *columns))
+    prints = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "prints")
+    reps = scratch.save(prints.filter("doc_id is not null").groupBy(*columns).agg(F.min("doc_id").alias("rep")), "reps")
+    found = components(near_links(reps, scratch, radius, blocks, agree, wide), scratch)
+    labels = reps.join(found, reps["rep"] == found["node"], "left").select(*columns, F.coalesce("component", "rep").alias("component_id"))
     # A fingerprint may be a third of all rows: a left join lets Spark split them.
-    out = prints.join(labels.hint("shuffle_merge"), "print", "left")
+    out = prints.join(labels.hint("shuffle_merge"), columns, "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 9, blocks: int = 11, agree: int = 2) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; rows with a null doc_id stay."""
-    from tidelog.llm.common import sized
+#: Of five-word shingles, a Jaccard similarity of 0.8 is a cosine of 0.89, and so 10 of 64 and 29 of 192 differing bits expected.
+NEAR = {"words": 5, "radius": 10, "blocks": 12, "agree": 2, "more": 2, "wide": 34}
+
 
+def one_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; rows with a null doc_id stay, and so does one of each doc_id that repeats.
+
+    parameters: those of simhash_groups, NEAR unless given.
+    """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(simhash_groups(docs, words, radius, blocks, agree).filter("doc_id <> component_id").select(F.col("doc_id").alias(f"__{scratch.root[-8:]}")).distinct(), "found")
+    found = scratch.save(simhash_groups(docs, **NEAR | parameters).filter("doc_id <> component_id").select(F.col("doc_id").alias(f"__{scratch.root[-8:]}")).distinct(), "found")
     return docs.join(sized(found), docs["doc_id"] == found[found.columns[0]], "left_anti")
