@@ -1,0 +1,328 @@
+"""The log engine's behaviours: resolution, cutting, merging, index, codec, grammars, store, wire, streams."""
+
+from __future__ import annotations
+
+import os
+import random
+import threading
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidelog.config import Config, setting
+from tidelog.errors import ConfigError, CorruptRecord, NotFound, TidelogError, TooLarge
+from tidelog.functions import codec, commands
+from tidelog.functions.lines import parse_line
+from tidelog.operators import bloom, compact, index, resolve, segment
+from tidelog.plans.session import run_script
+from tidelog.plans.store import Engine, Store, requests_of
+from tidelog.sources.records import read_records, write_records
+from tidelog.sources.wire import Client, Server
+from tidelog.streaming.ingest import ingest, live_stream, read_log_stream
+
+LOG = "seq long, key string, value string, tombstone boolean"
+ENTRIES = "segment_id long, key string, value string, tombstone boolean"
+
+
+def entries_of(spark, *segments):
+    rows = [(i, k, v, v is None) for i, own in enumerate(segments, 1) for k, v in own]
+    return spark.createDataFrame(rows, ENTRIES)
+
+
+def pairs(df):
+    return [(r["key"], r["value"]) for r in df.orderBy("key").collect()]
+
+
+def test_compaction_newest_wins(spark):
+    runs = entries_of(spark, [("a", "1"), ("c", "3"), ("e", "5")], [("b", "2"), ("d", "4"), ("f", "6")], [("a", "7"), ("d", "9"), ("e", "8")])
+    first = compact.merge_pair(runs.filter("segment_id = 1"), runs.filter("segment_id = 2"))
+    both = compact.merge_pair(first, runs.filter("segment_id = 3"))
+    want = [("a", "7"), ("b", "2"), ("c", "3"), ("d", "9"), ("e", "8"), ("f", "6")]
+    assert pairs(both) == want == pairs(compact.merge_runs(runs))
+
+
+def test_compaction_keeps_tombstones_and_empty_values(spark):
+    old = [("a", "1"), ("b", None), ("c", None), ("d", "1"), ("e", "1")]
+    new = [("a", None), ("b", "2"), ("d", "")]
+    runs = entries_of(spark, old, new)
+    want = [("a", None), ("b", "2"), ("c", None), ("d", ""), ("e", "1")]
+    assert pairs(compact.merge_pair(runs.filter("segment_id = 1"), runs.filter("segment_id = 2"))) == want
+    assert pairs(compact.merge_runs(runs, purge=True)) == [p for p in want if p[1] is not None]
+
+
+def test_compaction_rounds_take_the_oldest(spark):
+    runs = entries_of(spark, [("a", "1")], [("a", "2")], [("b", "3")], [("a", "4")])
+    out = sorted(map(tuple, compact.compact(runs, 2).select("segment_id", "key", "value").collect()))
+    assert out == [(3, "a", "2"), (3, "b", "3"), (4, "a", "4")]
+    assert compact.compact(runs.filter("segment_id = 1"), 5).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("indexed", "probe", "start", "end"),
+    [([], "a", None, None), ([("hello", 0), ("world", 1)], "asdf", None, 0), ([("hello", 0), ("world", 1)], "middle", 0, 1), ([("hello", 0), ("thiskey", 1), ("world", 2)], "thiskey", 1, 2), ([("hello", 0), ("world", 1)], "zebra", 1, None)],
+)
+def test_byte_range(spark, indexed, probe, start, end):
+    own = spark.createDataFrame([(1, k, o) for k, o in indexed], "segment_id long, key string, offset long")
+    asked = spark.createDataFrame([(1, probe)], "segment_id long, key string")
+    assert [(r["start"], r["end"]) for r in index.byte_range(own, asked).collect()] == [(start, end)]
+
+
+def test_offsets_and_sparse_index(spark):
+    own = entries_of(spark, [(k, "v" * i) for i, k in enumerate("abcdefghi")])
+    offsets = [r["offset"] for r in index.entry_offsets(own).orderBy("key").collect()]
+    assert offsets == [sum(10 + j for j in range(i)) for i in range(9)]
+    assert [r["key"] for r in index.segment_inspect(index.sparse_index(own), 1).collect()] == ["a", "e", "i"]
+    asked = spark.createDataFrame([(1, k) for k in ("a", "h", "hh", "z", "")], "segment_id long, key string")
+    out = {r["key"]: (r["state"], r["value"]) for r in index.bounded_lookup(own, index.sparse_index(own), asked).collect()}
+    assert out == {"a": ("value", ""), "h": ("value", "v" * 7), "hh": ("absent", None), "z": ("absent", None), "": ("absent", None)}
+
+
+RECORDS = [("a", "1", "01000000016100000001" + "31"), ("a", "", "0100000001" + "61" + "00000000"), ("é", "x", "0100000002C3A90000000178"), ("a", None, "020000000161")]
+
+
+@pytest.mark.parametrize(("key", "value", "want"), RECORDS)
+def test_record_codec(spark, key, value, want):
+    df = spark.createDataFrame([(key, value, value is None)], "key string, value string, tombstone boolean")
+    r = df.select(F.hex(codec.encode_record()).alias("h"), codec.stride().alias("n")).first()
+    assert r["h"] == want == codec.pack_record(key, value).hex().upper()
+    assert r["n"] == len(want) // 2
+    assert list(codec.decode_records(bytes.fromhex(want))) == [(key, value, value is None, 0)]
+
+
+def test_torn_records():
+    data = codec.pack_record("a", "1") + codec.pack_record("bb", "22")
+    for cut in range(12, len(data)):
+        assert [r[0] for r in codec.decode_records(data[:cut])] == ["a"]
+        with pytest.raises(CorruptRecord):
+            list(codec.decode_records(data[:cut], strict=True))
+    assert list(codec.decode_records(b"\x07" + data)) == []
+    with pytest.raises(CorruptRecord):
+        list(codec.decode_records(b"\x07", strict=True))
+    with pytest.raises(TooLarge):
+        codec.pack_record("a", "12345", most=4)
+
+
+def test_wire_frames(spark):
+    ops = spark.createDataFrame([(0, "get", "a", None), (1, "set", "a", "1"), (2, "delete", "a", None)], "seq long, op string, key string, value string")
+    assert [r[0] for r in ops.orderBy("seq").select(F.hex(codec.encode_request())).collect()] == ["010000000161", "0200000001610000000131", "030000000161"]
+    answers = spark.createDataFrame([("get", "ok", "1"), ("get", "not_found", None), ("set", "ok", None), ("set", "failed", None)], "op string, outcome string, value string")
+    assert [r[0] for r in answers.select(F.hex(codec.encode_response(F.col("op"), F.col("outcome"), F.col("value")))).collect()] == ["010000000131", "02", "01", "00"]
+
+
+LINES = ["GET Foo", "get a b", "set k = v w", "set k=v=x", "set k=\n", "set =v", "set  =v", "get \n", "SET K V", "set k  v", "delete a", "del a", "exitfoo", "", "segment-inspect segment-1.dat", "  LIST \n", None]
+CLIENT = [("get", "Foo", None), ("get", "a b", None), ("set", "k", "v w"), ("set", "k", "v"), ("set", "k", ""), ("invalid", None, None), ("invalid", None, None), ("get", "", None), ("invalid", None, None), ("invalid", None, None), ("delete", "a", None), ("invalid", None, None), ("exit", None, None), ("invalid", None, None), ("invalid", None, None), ("invalid", None, None), ("invalid", None, None)]
+REPL = [("get", "foo", None), ("invalid", None, None), ("invalid", None, None), ("invalid", None, None), ("invalid", None, None), ("invalid", None, None), ("set", "", "=v"), ("invalid", None, None), ("set", "k", "v"), ("invalid", None, None), ("invalid", None, None), ("delete", "a", None), ("invalid", None, None), ("invalid", None, None), ("segment-inspect", "segment-1.dat", None), ("list", None, None), ("invalid", None, None)]
+
+
+def test_grammars(spark):
+    lines = spark.createDataFrame(list(enumerate(LINES)), "seq long, line string")
+    for parse, want in ((commands.parse_client, CLIENT), (commands.parse_repl, REPL)):
+        assert [tuple(r) for r in parse(lines).orderBy("seq").select("op", "key", "value").collect()] == want
+    assert [parse_line(x) for x in LINES[:-1]] == CLIENT[:-1]
+
+
+def test_key_order_is_by_bytes(spark):
+    keys = ["", "B", "a", "z", "é", "￿", "\U00010437"]
+    shuffled = random.Random(1).sample(keys, len(keys))
+    log = spark.createDataFrame([(i, k, "v", False) for i, k in enumerate(shuffled)], LOG)
+    assert [r["key"] for r in resolve.list_keys(log).collect()] == keys
+
+
+def cut_by_hand(ops, capacity):
+    out, now, keys = [], 1, set()
+    for _, key, value in ops:
+        out.append(now)
+        keys.add(key)
+        if value is not None and len(keys) >= capacity:
+            now, keys = now + 1, set()
+    return out
+
+
+OPS = st.lists(st.tuples(st.sampled_from("abcdef"), st.one_of(st.none(), st.sampled_from(["", "1", "2"]))), max_size=40)
+FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@FEW
+@given(ops=OPS, capacity=st.integers(0, 4))
+def test_cutting_and_state_equal_a_model(spark, ops, capacity):
+    rows = [(i, k, v) for i, (k, v) in enumerate(ops)]
+    log = spark.createDataFrame([(i, k, v, v is None) for i, k, v in rows], LOG)
+    assigned = segment.assign_segments(log, capacity).cache()
+    assert [r["segment_id"] for r in assigned.orderBy("seq").collect()] == cut_by_hand(rows, capacity)
+    state = {}
+    for _, k, v in rows:
+        state[k] = v
+    live = {k: v for k, v in state.items() if v is not None}
+    assert dict(pairs(resolve.live(log))) == live
+    entries = segment.segment_entries(assigned, capacity)
+    rest = segment.memtable_residual(assigned, capacity)
+    merged = compact.merge_runs(entries.unionByName(rest.withColumn("segment_id", F.lit(1 << 40))))
+    assert dict(pairs(merged)) == state
+    assigned.unpersist()
+
+
+@FEW
+@given(ops=st.lists(st.tuples(st.sampled_from(["get", "set", "delete"]), st.sampled_from("abc"), st.sampled_from(["", "1", "2"])), max_size=40))
+def test_asof_reads_equal_a_model(spark, ops):
+    session = spark.createDataFrame([(i, op, k, v if op == "set" else None) for i, (op, k, v) in enumerate(ops)], "seq long, op string, key string, value string")
+    state, want = {}, []
+    for i, (op, k, v) in enumerate(ops):
+        if op == "get":
+            want.append((i, k, "ok" if k in state else "not_found", state.get(k)))
+        elif op == "set":
+            state[k] = v
+        else:
+            state.pop(k, None)
+    assert [tuple(r) for r in resolve.asof_reads(session).orderBy("seq").collect()] == want
+
+
+def test_three_states(spark):
+    log = spark.createDataFrame([(0, "a", "1", False), (1, "b", "1", False), (2, "b", None, True), (3, "c", "", False)], LOG)
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("a",)], "key string")
+    out = sorted(map(tuple, resolve.batch_get(log, keys).collect()))
+    assert out == sorted([("a", "value", "1"), ("a", "value", "1"), ("b", "tombstone", None), ("c", "value", ""), ("d", "absent", None)], key=lambda r: (r[0], r[1]))
+
+
+def test_bulk_segments_and_list(spark):
+    log = spark.createDataFrame([(3 * i, f"k{i:04d}", "v", False) for i in range(1000)], LOG)
+    out = segment.segment_list(segment.bulk_segments(log, 300, buckets=7)).collect()
+    assert [(r["segment_id"], r["entries"], r["min_key"]) for r in out] == [(1, 300, "k0000"), (2, 300, "k0300"), (3, 300, "k0600"), (4, 100, "k0900")]
+    assert segment.bulk_segments(log.limit(0), 3).count() == 0
+
+
+def test_sharded_cutting_keeps_state(spark):
+    log = spark.createDataFrame([(i, f"k{i % 37}", str(i), False) for i in range(500)], LOG)
+    cut = segment.assign_segments(log, 5, shards=4)
+    entries = resolve.newest(cut, keys=("shard", "segment_id", "key"))
+    assert entries.groupBy("shard", "segment_id").count().agg(F.max("count")).first()[0] <= 5
+    newest = resolve.newest(cut.select("seq", "key", "value", "tombstone"))
+    assert dict(pairs(newest)) == dict(pairs(resolve.newest(log)))
+
+
+def test_bloom_has_no_false_negative(spark):
+    entries = entries_of(spark, [(f"k{i}", "v") for i in range(500)], [(f"m{i}", "v") for i in range(50)])
+    sizes, bits = bloom.build(entries)
+    there = entries.select("segment_id", "key")
+    assert bloom.maybe_contains(sizes, bits, there).filter("not maybe").count() == 0
+    absent = there.withColumn("key", F.concat("key", F.lit("-")))
+    assert bloom.maybe_contains(sizes, bits, absent).filter("maybe").count() <= 3
+
+
+def test_configuration(monkeypatch):
+    assert Config.from_env() == Config()
+    monkeypatch.setenv("TIDELOG_ENGINE_MEMTABLE__CAPACITY", "7")
+    monkeypatch.setenv("TIDELOG_ENGINE_STORE__COMPACTION_ENABLED", "YES")
+    monkeypatch.setenv("TIDELOG_KV__PORT", "6211")
+    c = Config.from_env()
+    assert (c.capacity, c.compaction_enabled, c.port) == (7, False, 6211)
+    for bad in ("-1", "x", "65536", ""):
+        monkeypatch.setenv("TIDELOG_KV__PORT", bad)
+        with pytest.raises(ConfigError, match="TIDELOG_KV__PORT"):
+            Config.from_env()
+    assert setting("a", "b", 3, int) == 3
+
+
+def test_store_survives_reopening_and_compaction(spark, tmp_path):
+    """Random batches against a dictionary; after every batch, a new engine on the same folder sees the same state."""
+    r, model, path = random.Random(4), {}, str(tmp_path / "db")
+    config = Config(capacity=6)
+    for _ in range(4):
+        engine = Engine(spark, path, config)
+        ops = [(r.choice(["set", "delete", "get"]), r.choice("abcdefghijklmnopqrstuvwxyz"), str(r.randrange(1_000_000))) for _ in range(30)]
+        out = {x["seq"]: x for x in engine.apply(requests_of(spark, [(o, k, v if o == "set" else None) for o, k, v in ops])).collect()}
+        assert len(out) == 30
+        for i, (op, k, v) in enumerate(ops):
+            if op == "get":
+                assert (out[i]["outcome"], out[i]["value"]) == (("ok", model[k]) if k in model else ("not_found", None))
+            elif op == "set":
+                model[k] = v
+            else:
+                model.pop(k, None)
+        assert dict(pairs(engine.state())) == model
+    engine = Engine(spark, path, config)
+    before = engine.segments().count()
+    assert before >= 2
+    assert engine.compact(before - 1) == before - 1
+    assert dict(pairs(Engine(spark, path, config).state())) == model
+    assert [x["key"] for x in engine.list().collect()] == sorted(model)
+    ids = [x["segment_id"] for x in engine.segments().collect()]
+    assert len(ids) == 1 and engine.inspect(ids[0]).count() >= 1 and engine.inspect(99).count() == 0
+
+
+def test_engine_calls(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), Config(capacity=2, compaction_interval_seconds=10))
+    engine.set("a", "1")
+    engine.set("b", "")
+    engine.delete("c")
+    assert (engine.get("a"), engine.get("b"), engine.get("c")) == ("1", "", None)
+    with pytest.raises(NotFound):
+        engine.require("c")
+    engine.set("d", "2")
+    assert engine.tick(0) == 0 and engine.tick(5) == 0 and engine.tick(11) == 1
+    assert engine.get("a") == "1"
+    engine.stop()
+    with pytest.raises(TidelogError):
+        engine.get("a")
+
+
+def test_two_writers_cannot_both_commit(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "db")), Store(spark, str(tmp_path / "db"))
+    ops = spark.createDataFrame([(0, "a", "1", False)], LOG)
+    one.append(ops)
+    with pytest.raises(TidelogError, match="another writer"):
+        two.append(ops)
+    assert pairs(resolve.live(Store(spark, str(tmp_path / "db")).writes())) == [("a", "1")]
+
+
+def test_scripts(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), Config(capacity=2))
+    lines = ["set A 1", "set b 2", "get a", "get zz", "list", "segment-list", "segment-inspect segment-1.dat", "nonsense", "exit", "set c 3"]
+    out = [tuple(r) for r in run_script(engine, spark.createDataFrame(list(enumerate(lines)), "seq long, line string"), "repl").orderBy("seq").select("op", "outcome", "value").collect()]
+    assert out == [("set", "ok", None), ("set", "ok", None), ("get", "ok", "1"), ("get", "not_found", None), ("list", "ok", "a\nb"), ("segment-list", "ok", "segment-1.dat"), ("segment-inspect", "ok", "a @ 0"), ("invalid", "invalid", None)]
+
+
+def test_raw_files_round_trip(spark, tmp_path):
+    entries = entries_of(spark, [("a", "1"), ("b", None)], [("é", "")])
+    folder = str(tmp_path / "raw")
+    write_records(entries, folder)
+    assert sorted(os.listdir(folder)) == ["segment-1.dat", "segment-2.dat"]
+    back = read_records(spark, folder)
+    assert sorted(map(tuple, back.select("segment_id", "key", "value", "tombstone").collect()), key=str) == sorted(map(tuple, entries.collect()), key=str)
+    assert [r["segment_id"] for r in back.filter("key = 'é'").collect()] == [2]
+    with open(f"{folder}/segment-1.dat", "r+b") as f:
+        f.truncate(14)
+    assert read_records(spark, folder).count() == 2
+    with pytest.raises(Exception, match="ends early"):
+        read_records(spark, folder, "failfast").count()
+
+
+def test_wire(spark, tmp_path):
+    server = Server(Engine(spark, str(tmp_path / "db")), 0)
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    client = Client(server.server_address[1])
+    client.sock.sendall(b"\x09")  # an unknown tag is skipped
+    client.set("k", "v")
+    assert client.get("k") == "v"
+    client.delete("k")
+    assert client.get("k") is None
+    client.close()
+    server.shutdown()
+    server.server_close()
+
+
+def test_streams(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    log = spark.createDataFrame([(i, f"k{i % 5}", None if i % 7 == 0 else str(i), i % 7 == 0) for i in range(60)], LOG)
+    log.repartition(6).write.parquet(folder)
+    query = live_stream(read_log_stream(spark, folder, 2)).writeStream.format("memory").queryName("state").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("state").collect()), key=str) == sorted(map(tuple, resolve.newest(log).collect()), key=str)
+    engine = Engine(spark, str(tmp_path / "db"), Config(capacity=3))
+    ordered = str(tmp_path / "ordered")
+    for a in range(0, 60, 20):
+        log.filter((F.col("seq") >= a) & (F.col("seq") < a + 20)).coalesce(1).write.mode("append").parquet(ordered)
+    ingest(read_log_stream(spark, ordered, 1), engine, str(tmp_path / "checkpoint")).awaitTermination()
+    assert dict(pairs(engine.state())) == dict(pairs(resolve.live(log)))
