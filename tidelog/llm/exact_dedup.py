@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm.common import Scratch, sized
 
@@ -100,11 +101,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col(f"{mine}_id")) & (F.col(mine) == F.col(f"{mine}_sha"))
     out = keyed.join(sized(gone), same, "left_anti")
     # Rows that repeat the kept one's id and text were all taken out above: one of them, the longest, comes back.
-    again = found.filter("kept").select("doc_id", "text_sha256").join(goes, ["doc_id", "text_sha256"], "left_semi")
+    stays = found.filter("kept").select("doc_id", "text_sha256")
+    again = stays.join(sized(gone), stays["doc_id"].eqNullSafe(gone[f"{mine}_id"]) & (stays["text_sha256"] == gone[f"{mine}_sha"]), "left_semi")
     if not again.isEmpty():
         back = again.select(F.col("doc_id").alias(f"{mine}_id"), F.col("text_sha256").alias(f"{mine}_sha"))
         rows = keyed.join(sized(back), same, "left_semi").withColumn(f"{mine}_n", -F.length("text"))
-        from pyspark.sql.window import Window
-
         out = out.unionByName(rows.withColumn(f"{mine}_k", F.row_number().over(Window.partitionBy("doc_id", mine).orderBy(f"{mine}_n"))).filter(f"{mine}_k = 1").drop(f"{mine}_n", f"{mine}_k"))
     return out.drop(mine)
