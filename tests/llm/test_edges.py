@@ -237,6 +237,13 @@ def test_surrogates(spark):
     assert out[1]["n_replaced"] == 4 and dict(out[1]["types"]) == {"email": 1, "card": 1, "ip": 1, "ssn": 1}
 
 
+def test_entities_side_by_side_stay_apart():
+    kinds = lambda t: [(m.lastgroup, m[0]) for m in pii._PATTERN.finditer(t)]
+    assert kinds("+1 (426) 555-4081 190.137.223.204 x") == [("phone", "+1 (426) 555-4081"), ("ip", "190.137.223.204")]
+    assert kinds("+44 20 7946 0958 190.137.223.204") == [("phone", "+44 20 7946 0958"), ("ip", "190.137.223.204")]
+    assert kinds("+1 (171) 555-2028 4929348385146306 a@b.example") == [("phone", "+1 (171) 555-2028"), ("card", "4929348385146306"), ("email", "a@b.example")]
+
+
 def test_surrogates_are_permutations():
     numbers = [f"{a:03d}-{b:02d}-1234" for a in range(0, 1000, 7) for b in range(0, 100, 9)]
     made = {pii.surrogate(KEY, "ssn", x) for x in numbers}
