@@ -24,13 +24,17 @@ def wide_print(text: str) -> tuple[int, ...]:
     out = [simhash(text, n)[0]]
     for j in range(1, 1 + NEAR["more"]):
         numbers = [int(x) for x in mixed(np.array(hashes, np.uint64), j)]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in numbers) > len(numbers)))
+        tie = int(mixed(np.array([min(hashes)], np.uint64), j)[0])
+        ones = [sum(x >> b & 1 for x in numbers) for b in range(64)]
+        out.append(sum(1 << b for b in range(64) if 2 * ones[b] > len(numbers) or (2 * ones[b] == len(numbers) and tie >> b & 1)))
     return tuple(out)
 
 
 def near(a: tuple, b: tuple) -> bool:
     apart = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-    return apart[0] <= NEAR["radius"] and sum(apart) <= NEAR["wide"]
+    edges = [64 * i // NEAR["blocks"] for i in range(NEAR["blocks"] + 1)]
+    agree = sum((a[0] ^ b[0]) >> edges[i] & ((1 << edges[i + 1] - edges[i]) - 1) == 0 for i in range(NEAR["blocks"]))
+    return apart[0] <= NEAR["radius"] and sum(apart) <= NEAR["wide"] and agree >= NEAR["agree"]
 
 
 @pytest.fixture(scope="module")

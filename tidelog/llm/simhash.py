@@ -1,13 +1,15 @@
 """SimHash near-dedup: exact links between fingerprints within a Hamming radius, by bit-sliced comparison.
 
 Fingerprints are cut into `blocks`; two within the radius agree on at least blocks - radius of them, so each pair meets
-in some bucket keyed by `agree` <= blocks - radius whole blocks. Within a bucket, bit planes lie vertically: one word
+in some bucket keyed by `agree` <= blocks - radius whole blocks. (With a greater `agree`, agreeing on so many blocks is
+part of what a link is.) Within a bucket, bit planes lie vertically: one word
 holds one bit of 64 fingerprints. Distances grow in carry-save counters, and words whose 64 distances all exceed the
 radius are abandoned. A bucket gives a spanning forest of its links, never all pairs, which keeps every component. Buckets
 over TILE are dealt out as pairs of tiles, so no task holds more than two tiles, and no link is lost.
 
-64 bits are too few for a wide radius: of very many documents, some pairs without a word in common are within it. Further
-words can be drawn from the same shingles; a link then needs `wide` or fewer differing bits in all words as well.
+64 bits are too few for a wide radius: of very many documents, some pairs without a word in common are within it, and the
+distance of near copies varies much. Further words can be drawn from the same shingles; a link then needs `wide` or fewer
+differing bits in all words as well.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprints(docs: list[bytes], words: int, more: int = 0) -> np.ndarray:
-    """(texts, 1 + more): a bit is 1 if set in over half of the shingles' XXH64, in further words of a number mixed from it; no word: zero."""
+    """(texts, 1 + more): a bit is 1 if set in over half of the shingles' XXH64; no word: zero.
+
+    Further words do so with numbers mixed from those hashes, a tie being settled by the least hash: else texts of two
+    shingles would have few bits set and be alike.
+    """
     from xxhash import xxh64_intdigest
 
     out = np.zeros((len(docs), 1 + more), np.uint64)
@@ -45,12 +51,15 @@ def fingerprints(docs: list[bytes], words: int, more: int = 0) -> np.ndarray:
         n = max(1, len(own) - words + 1)
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
-        counts = np.zeros((1 + more, 64), np.int64)
+        counts, least = np.zeros((1 + more, 64), np.int64), _ALL
         last = ends[words - 1 :].tolist() if len(own) >= words else [len(whole)]
         for i in range(0, n, 65536):
             h = np.array([xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts[i : min(n, i + 65536)], last[i : i + 65536], strict=False)], np.uint64)
             for j in range(1 + more):
                 counts[j] += _bit_counts(mixed(h, j) if j else h)
+            least = min(least, h.min())
+        for j in range(1, 1 + more):
+            counts[j] += (2 * counts[j] == n) & (_bit_counts(mixed(np.array([least]), j)) > 0)
         out[k] = np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
@@ -211,9 +220,7 @@ def _links(batches: Iterator[pa.RecordBatch], columns: list[str], radius: int, w
 
 
 def near_links(reps: DataFrame, scratch: Scratch, radius: int, blocks: int, agree: int, wide: int = 0) -> DataFrame:
-    """(a, b): links between representatives, of reps (print, further words print1.., rep) with distinct fingerprints."""
-    if agree > blocks - radius:
-        raise ValueError("pairs within the radius may agree on fewer blocks")
+    """(a, b): a spanning forest, bucket by bucket, of the links of reps (print, further words print1.., rep) with distinct fingerprints."""
     columns = [c for c in reps.columns if c.startswith("print")]
     wide = wide if len(columns) > 1 else radius
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -264,8 +271,9 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of five-word shingles, a Jaccard similarity of 0.8 is a cosine of 0.89, and so 10 of 64 and 29 of 192 differing bits expected.
-NEAR = {"words": 5, "radius": 10, "blocks": 12, "agree": 2, "more": 2, "wide": 34}
+#: Of five-word shingles, a Jaccard similarity of 0.8 is a cosine of 0.89, and so 10 of 64 and 29 of 192 differing bits are
+#: expected, give or take 3 and 5. Pairs that differ in 16 of 64 seldom agree on less than two of twelve blocks.
+NEAR = {"words": 5, "radius": 16, "blocks": 12, "agree": 2, "more": 2, "wide": 36}
 
 
 def one_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
