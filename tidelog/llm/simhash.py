@@ -273,7 +273,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int
 
 #: Of five-word shingles, a Jaccard similarity of 0.8 is a cosine of 0.89, and so 10 of 64 and 29 of 192 differing bits are
 #: expected, give or take 3 and 5. Pairs that differ in 16 of 64 seldom agree on less than two of twelve blocks.
-NEAR = {"words": 5, "radius": 16, "blocks": 12, "agree": 2, "more": 2, "wide": 36}
+NEAR = {"words": 5, "radius": 16, "blocks": 12, "agree": 2, "more": 2, "wide": 38}
 
 
 def one_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
