@@ -175,7 +175,8 @@ def test_asof_reads_equal_a_model(spark, ops):
             state[k] = v
         else:
             state.pop(k, None)
-    assert [tuple(r) for r in resolve.asof_reads(session).orderBy("seq").collect()] == want
+    for buckets in (1, 3, 256):
+        assert [tuple(r) for r in resolve.asof_reads(session, buckets).orderBy("seq").collect()] == want
 
 
 def test_three_states(spark):
@@ -276,6 +277,15 @@ def test_two_writers_cannot_both_commit(spark, tmp_path):
     assert pairs(resolve.live(Store(spark, str(tmp_path / "db")).writes())) == [("a", "1")]
 
 
+def test_a_batch_counts_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    one, two = (spark.createDataFrame([(0, "a", v, False)], LOG) for v in "12")
+    store.append(one, "stream", 0)
+    store.append(two, "stream", 1)
+    Store(spark, str(tmp_path / "db")).append(one, "stream", 0)
+    assert pairs(resolve.live(Store(spark, str(tmp_path / "db")).writes())) == [("a", "2")]
+
+
 def test_scripts(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"), Config(capacity=2))
     lines = ["set A 1", "set b 2", "get a", "get zz", "list", "segment-list", "segment-inspect segment-1.dat", "nonsense", "exit", "set c 3"]

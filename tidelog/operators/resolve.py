@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Keys of a batch that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Ranges into which a session's seq is cut for as-of reads.
+AS_OF_BUCKETS = 256
 
 
 def newest(log: DataFrame, by: str = "seq", keys: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -53,11 +55,22 @@ def batch_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     return probe(newest(wanted), keys)
 
 
-def asof_reads(session: DataFrame) -> DataFrame:
-    """(seq, key, outcome, value) of each get, which sees the last write of its key before it."""
-    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    write = F.when(F.col("op") != "get", F.struct("op", "value"))
-    seen = session.withColumn("seen", F.last(write, ignorenulls=True).over(before)).filter("op = 'get'")
+def asof_reads(session: DataFrame, buckets: int = AS_OF_BUCKETS) -> DataFrame:
+    """(seq, key, outcome, value) of each get, which sees the last write of its key before it.
+
+    A key's requests are cut into at most `buckets` ranges of seq, each resolved on its own: one key may be most of the
+    session. What a range starts from is the last write of the ranges before, a row a key and range.
+    """
+    low, high = session.agg(F.min("seq"), F.max("seq")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    placed = session.select("seq", "op", "key", "value", F.expr(f"(seq - {low}) div {(high - low) // buckets + 1}").alias("bucket"))
+    is_write, write = F.col("op") != "get", F.struct("op", "value")
+    ends = placed.groupBy("key", "bucket").agg(F.max_by(write, F.when(is_write, F.col("seq"))).alias("end"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("key", "bucket", F.last("end", ignorenulls=True).over(earlier).alias("start"))
+    before = Window.partitionBy("key", "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.join(starts, ["key", "bucket"]).withColumn("seen", F.last(F.when(is_write, write), ignorenulls=True).over(before))
+    seen = within.filter(~is_write).withColumn("seen", F.coalesce("seen", "start"))
     hit = F.coalesce(F.col("seen.op") == "set", F.lit(False))
     return seen.select("seq", "key", F.when(hit, "ok").otherwise("not_found").alias("outcome"), F.when(hit, F.col("seen.value")).alias("value"))
 

@@ -100,15 +100,21 @@ class Store:
         held = self.entries().select((top + F.col("segment_id")).alias("seq"), "key", "value", "tombstone")
         return held.unionByName(self.log())
 
-    def append(self, ops: DataFrame) -> None:
-        """ops (seq, key, value, tombstone): seq orders them among themselves; all come behind what is there. Flushes what fills segments."""
+    def append(self, ops: DataFrame, source: str | None = None, batch: int = 0) -> None:
+        """ops (seq, key, value, tombstone): seq orders them among themselves; all come behind what is there. Flushes what fills segments.
+
+        A batch of a named source that was committed before is not taken again.
+        """
+        batches = self.manifest.get("batches", {})
+        if source is not None and batches.get(source, -1) >= batch:
+            return
         base = self.manifest["next_seq"]
         path = f"{self.root}/log-{uuid.uuid4().hex}"
         low, high = ops.agg(F.min("seq"), F.max("seq")).first()
         if low is None:
             return
         ops.select((F.col("seq") - low + base).alias("seq"), "key", "value", "tombstone").write.parquet(path)
-        self._commit(log=[*self.manifest["log"], path], next_seq=base + high - low + 1)
+        self._commit(log=[*self.manifest["log"], path], next_seq=base + high - low + 1, batches=batches | ({} if source is None else {source: batch}))
         self.flush()
 
     def flush(self) -> None:

@@ -20,11 +20,14 @@ def live_stream(log: DataFrame) -> DataFrame:
 
 
 def ingest(log: DataFrame, engine: Engine, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch to a store, which flushes as it fills; one compaction step a batch where it is due."""
+    """Appends each micro-batch to a store, which flushes as it fills; one compaction step a batch where it is due.
+
+    The manifest holds the last batch of each checkpoint, so one that is run again after a failure counts once.
+    """
     import time
 
-    def each(batch: DataFrame, _: int) -> None:
-        engine.store.append(batch.select("seq", "key", "value", "tombstone"))
+    def each(batch: DataFrame, number: int) -> None:
+        engine.store.append(batch.select("seq", "key", "value", "tombstone"), checkpoint, number)
         engine.tick(time.monotonic())
 
     return log.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
