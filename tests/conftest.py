@@ -51,27 +51,28 @@ def rows_of(columns, rows) -> Counter:
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-@pytest.fixture(scope="session")
-def duck():
+def duck_at(folder):
+    """DuckDB with a folder's tables as views."""
     import duckdb
 
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
     for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     return con
 
 
+def compare(df, con, sql: str) -> int:
+    """Asserts that a DataFrame has the rows and columns of a statement; how many rows."""
+    found = con.execute(sql)
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(df.columns)
+    theirs, ours = rows_of(names, found.fetchall()), rows_of(df.columns, df.collect())
+    assert ours == theirs, f"only here: {list((ours - theirs).items())[:3]}; only there: {list((theirs - ours).items())[:3]}"
+    return sum(ours.values())
+
+
 @pytest.fixture(scope="session")
-def same_as_sql(duck):
-    """Asserts that a DataFrame has the rows and columns of a statement."""
-
-    def check(df, sql: str) -> int:
-        found = duck.execute(sql)
-        names = [c[0] for c in found.description]
-        assert sorted(names) == sorted(df.columns)
-        theirs, ours = rows_of(names, found.fetchall()), rows_of(df.columns, df.collect())
-        assert ours == theirs, f"only here: {list((ours - theirs).items())[:3]}; only there: {list((theirs - ours).items())[:3]}"
-        return sum(ours.values())
-
-    return check
+def same_as_sql():
+    con = duck_at(SF)
+    return lambda df, sql: compare(df, con, sql)
