@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from itertools import filterfalse
 
 import numpy as np
@@ -34,7 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         # Arrow batches are bounded by bytes as well as rows: a few very long texts can't blow up a worker.
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -82,14 +85,37 @@ def by_bytes(docs: Iterable[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield first, n
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema). A worker, which Spark reuses, first gives back what it holds of other work; keep: but for piece caches."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            for cache in PieceCache.made:
+                cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError):  # not with every C library
+            ctypes.CDLL(None).malloc_trim(0)
+        yield from run(batches)
+
+    return df.mapInArrow(start, schema)
+
+
 class PieceCache:
     """What a tokenizer gives for each piece of text that can be encoded alone, kept for the pieces seen last.
 
     Unseen pieces are encoded as one batch; when kept pieces exceed a bound, all go.
     """
 
+    made: list[PieceCache] = []
+
     def __init__(self, encode: Callable[[list[bytes]], list], most_bytes: int = 24 << 20, most: int = 300_000):
         self.encode, self.most_bytes, self.most, self.held, self.bytes = encode, most_bytes, most, {}, 0
+        self.made.append(self)
+
+    def clear(self) -> None:
+        self.held.clear()
+        self.bytes = 0
 
     def __call__(self, pieces: list[list[bytes]]) -> Callable:
         held = self.held
@@ -97,8 +123,7 @@ class PieceCache:
         for p in pieces:
             new.update(filterfalse(held.__contains__, p))
         if new and (len(held) + len(new) > self.most or self.bytes > self.most_bytes):
-            held.clear()
-            self.bytes = 0
+            self.clear()
             new = {x for p in pieces for x in p}
         if new:
             ordered = list(new)

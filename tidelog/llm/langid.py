@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import Scratch, by_bytes, joined, texts
+from tidelog.llm.common import Scratch, by_bytes, joined, mapped, texts
 
 ORDER = 3
 PER_LANG = 400
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES)
 def classify(docs: DataFrame, model: Model, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns `keep` of docs with a prediction and its score. und, with score 0: the text is null, has no letter, or no language was learned."""
     spark = docs.sparkSession
-    mine = f"__{Scratch(spark).root[-8:]}"
+    scratch = Scratch(spark)
+    mine = "text" if "text" in keep else f"__{scratch.root[-8:]}"
     held = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add(pred, "string").add(score, "double")
 
@@ -188,10 +189,10 @@ def classify(docs: DataFrame, model: Model, keep: list[str], pred: str = "lang_p
                     preds.append(model.langs[k])
                     # The odds as if the text's mean evidence were that of at most 64 bytes.
                     scores.append(float(1 / np.exp2(-(own - own[k]) * min(1, 64 / len(d))).sum()))
-            cols = [c for c in b.schema.names if c != mine]
+            cols = [c for c in b.schema.names if c in schema.names[:-2]]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*cols, pred, score])
 
-    return docs.select(*keep, F.col("text").alias(mine)).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, *([] if mine == "text" else [F.col("text").alias(mine)])), run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

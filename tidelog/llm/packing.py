@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, texts
+from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, mapped, texts
 
 #: Rows of one length that are ranked together.
 RANK_ROWS = 512
@@ -171,7 +171,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", keep=True)
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -238,7 +238,7 @@ def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(at[:, 3] + i // k), pa.array(at[:, 4] + i % k * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     cols = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return cols.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(cols, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

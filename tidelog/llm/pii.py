@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, mapped
 
 FEMALE = "Alice Amelia Anna Camille Carla Carmen Charlotte Chloe Clara Elena Elizabeth Emma Eva Hannah Helga Ines Isabel Jane Julia Karin Laura Lea Lucia Luisa Maria Marie Mary Nina Olivia Paula Petra Rosa Sarah Sofia Sophie Susan Ursula Valerie".split()
 MALE = "Alan Andreas Antonio Carlos Charles Claude David Diego Edward Emil Francisco Frank George Hans Henri Hugo Jack James Javier Jean John Jorge Juan Karl Klaus Louis Lukas Manuel Marc Michael Otto Pablo Paul Pedro Peter Pierre Robert Thomas".split()
@@ -219,7 +219,7 @@ def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.string()), pa.array(n, pa.int64()), pa.array(types, pa.map_(pa.string(), pa.int64()))], ["doc_id", "text", "n_replaced", "types"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, n_replaced long, types map<string, long>")
+    return mapped(rows, run, "doc_id long, text string, n_replaced long, types map<string, long>")
 
 
 def derived_key(phrase: str) -> bytes:

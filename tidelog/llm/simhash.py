@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, by_bytes, sized, texts
+from tidelog.llm.common import Scratch, by_bytes, mapped, sized, texts
 from tidelog.llm.components import components
 
 #: Fingerprints of one bucket that are compared in one task at most, twice.
@@ -239,7 +239,7 @@ def near_links(reps: DataFrame, scratch: Scratch, radius: int, blocks: int, agre
         lots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda j: F.least(F.col("tile"), j) * F.col("tiles") + F.greatest(F.col("tile"), j))
         dealt = tagged.select("key", F.explode(lots).alias("lot"), *columns, "rep")
     rows = dealt.repartition("key", "lot").sortWithinPartitions("key", "lot")
-    return rows.mapInArrow(lambda batches: _links(batches, columns, radius, wide), "a long, b long").distinct()
+    return mapped(rows, lambda batches: _links(batches, columns, radius, wide), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, more: int = 0, wide: int = 0) -> DataFrame:
@@ -262,7 +262,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, np.ascontiguousarray(made.T))], ["doc_id", *columns])
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", *columns))
-    prints = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "prints")
+    prints = scratch.save(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema), "prints")
     reps = scratch.save(prints.filter("doc_id is not null").groupBy(*columns).agg(F.min("doc_id").alias("rep")), "reps")
     found = components(near_links(reps, scratch, radius, blocks, agree, wide), scratch)
     labels = reps.join(found, reps["rep"] == found["node"], "left").select(*columns, F.coalesce("component", "rep").alias("component_id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, by_bytes, texts
+from tidelog.llm.common import Scratch, by_bytes, mapped, texts
 from tidelog.llm.suffix_dedup import _batch, _first, _whole_groups, cut_out, restored, unique_ids
 
 WIDTH, ZEROS, NEAREST, MOST = 16, 5, 16, 256
@@ -89,9 +89,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, begin, end) of chunks that occur earlier. docs: doc_id (unique, not null), text."""
-    rows = docs.mapInArrow(_scan, _ROWS)
+    rows = mapped(docs, _scan, _ROWS)
     dealt = rows.repartition(F.when(F.col("packed").bitwiseAND(15) == RUN, F.col("d1")).otherwise(F.xxhash64("doc_id", "packed")))
-    return scratch.save(dealt.sortWithinPartitions("d1", "d2", "doc_id", "packed").mapInArrow(_judge, "doc_id long, begin long, end long"), "gone")
+    return scratch.save(mapped(dealt.sortWithinPartitions("d1", "d2", "doc_id", "packed"), _judge, "doc_id long, begin long, end long"), "gone")
 
 
 def substring_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, by_bytes, texts
+from tidelog.llm.common import Scratch, by_bytes, mapped, texts
 
 LENGTH, Q = 100, 32
 SPAN = LENGTH - Q + 1  # q-grams in a window
@@ -264,7 +264,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """docs (doc_id, text) as (doc_id, z, ...) joined with spans (doc_id, list): without moving texts where spans are few."""
     if spans.agg(F.coalesce(F.sum(F.size("list") + 1), F.lit(0))).first()[0] <= SPANS:
         return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(spans), "doc_id", how)
-    return docs.mapInArrow(_squeeze, "doc_id long, z binary").join(spans, "doc_id", how)
+    return mapped(docs, _squeeze, "doc_id long, z binary").join(spans, "doc_id", how)
 
 
 def _raw(b: pa.RecordBatch) -> list[bytes]:
@@ -313,14 +313,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, begin, end): stored spans, perhaps overlapping, that hold exactly the bytes to go. docs: doc_id (unique, not null), text."""
-    runs = docs.mapInArrow(_scan, _RUNS)
+    runs = mapped(docs, _scan, _RUNS)
     dealt = runs.repartition(F.when(F.col("packed").bitwiseAND(15) == RUN, F.col("gram")).otherwise(F.xxhash64("doc_id", "packed")))
-    found = scratch.save(dealt.sortWithinPartitions("gram", "span", "doc_id", "packed").mapInArrow(_judge, _FOUND), "found")
+    found = scratch.save(mapped(dealt.sortWithinPartitions("gram", "span", "doc_id", "packed"), _judge, _FOUND), "found")
     begin = F.shiftright("packed", 20)
     gone = found.filter(F.col("kind") == GONE).select("doc_id", begin.alias("begin"), (begin + F.shiftright("packed", 4).bitwiseAND(255) + LENGTH - 1).alias("end"))
     still = found.filter(F.col("kind") == OPEN).select("doc_id", "packed", "gram")
     lists = scratch.save(still.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "packed")).alias("list")), "open")
-    opened = with_spans(docs, lists, "inner").mapInArrow(_fetch, _OPENED)
+    opened = mapped(with_spans(docs, lists, "inner"), _fetch, _OPENED)
     hot = scratch.save(still.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"), "hot")
     if hot.isEmpty():
         cool, spread = opened, None
@@ -329,8 +329,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
         opened = scratch.save(opened, "opened")
         cool = opened.join(sized(hot), "gram", "left_anti")
-        spread = opened.join(sized(hot), "gram", "left_semi").select("gram", "doc_id", "packed", "bytes").mapInArrow(_windows, _DIGESTS)
-    met = cool.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, _SPANS)
+        spread = mapped(opened.join(sized(hot), "gram", "left_semi").select("gram", "doc_id", "packed", "bytes"), _windows, _DIGESTS)
+    met = mapped(cool.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
     parts = [gone, scratch.save(met, "met")]
     if spread is not None:
         spread = scratch.save(spread, "windows")
@@ -367,7 +367,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def cut_out(docs: DataFrame, spans: DataFrame, scratch: Scratch, least: int = 1) -> DataFrame:
     """RESULT of docs (doc_id, text) without the bytes in spans (doc_id, begin, end); joined spans under `least` bytes stay."""
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("list"))
-    lists = scratch.save(grouped.mapInArrow(lambda batches: _merged(batches, least), "doc_id long, list array<struct<begin: long, end: long>>"), "lists")
+    lists = scratch.save(mapped(grouped, lambda batches: _merged(batches, least), "doc_id long, list array<struct<begin: long, end: long>>"), "lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,7 +383,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, scratch: Scratch, least: int = 1)
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, lists, "left").mapInArrow(run, RESULT)
+    return mapped(with_spans(docs, lists, "left"), run, RESULT)
 
 
 def unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:

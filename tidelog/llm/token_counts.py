@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, texts
+from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, mapped, texts
 
 _MARK = "▁".encode()
 #: A space after something that isn't itself white: no piece of the vocabulary holds a mark behind another character.
@@ -76,4 +76,4 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, t), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(rows, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keep=True)
