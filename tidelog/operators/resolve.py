@@ -40,7 +40,7 @@ def point_get(log: DataFrame, key: str) -> DataFrame:
 
 def probe(state: DataFrame, keys: DataFrame) -> DataFrame:
     """Three-state lookup of keys (key) in a resolved state: absent, tombstone or value."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    few = keys.count() <= BROADCAST_KEYS
     # Only what the batch asks for is kept of the state; where that is little, the state isn't shuffled.
     held = state.join(F.broadcast(keys.distinct()) if few else keys.distinct(), "key", "left_semi")
     found = keys.join(held, "key", "left")
@@ -50,7 +50,7 @@ def probe(state: DataFrame, keys: DataFrame) -> DataFrame:
 
 def batch_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, state, value) for each row of keys. Only the wanted keys are resolved."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    few = keys.count() <= BROADCAST_KEYS
     wanted = log.join(F.broadcast(keys.distinct()) if few else keys.distinct(), "key", "left_semi")
     return probe(newest(wanted), keys)
 
