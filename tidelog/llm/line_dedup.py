@@ -49,7 +49,7 @@ def line_dedup(pages: DataFrame, ratio: float = 0.5, least_pages: int = 3) -> Da
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
     hashed = scratch.save(cut.select("host", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes")), "hashes")
     found = scratch.save(boilerplate(hashed, ratio, least_pages), "boilerplate")
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = found.count() <= BROADCAST_ROWS
     by_host = found.groupBy("host").agg(F.collect_set("line").alias("drop"))
     out = cut.join(F.broadcast(by_host) if few else by_host, "host", "left")
     left = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x))))
