@@ -22,6 +22,7 @@ from tidelog.llm.common import Scratch, by_bytes, joined, mapped, texts
 ORDER = 3
 PER_LANG = 400
 MOST_BYTES = 65_536
+SALTS = 16
 FOLDS = 5
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -155,8 +156,11 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES) -> Model:
     """From labelled documents outside the held-out fold: per language, those with the smallest hashed ids."""
     keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= most_bytes)).select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # each task passes on at most per_lang a language
-    few = keys.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_lang).select("doc_id", F.col("lang").alias("label")).distinct()
+    # Each task passes on at most per_lang a language; those meet in SALTS tasks a language, and what they pass on in one.
+    few = keys.withColumn("order", F.xxhash64("doc_id")).withColumn("salt", F.pmod("order", F.lit(SALTS)))
+    for by in (("lang", "salt"), ("lang",)):
+        few = few.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("order", "doc_id"))).filter(F.col("k") <= per_lang)
+    few = few.select("doc_id", F.col("lang").alias("label")).distinct()
     held = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").filter((F.col("lang") == F.col("label")) & (F.octet_length("text") <= most_bytes))
     rows = held.groupBy("label", "doc_id").agg(F.min("text").alias("text")).collect()  # at most per_lang x most_bytes a language, however often a row repeats
     samples: dict[str, list[bytes]] = {}
