@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,6 @@ from pyspark.sql.window import Window
 
 from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, mapped, texts
 
-#: Rows of one length that are ranked together.
-RANK_ROWS = 512
 _caches: dict[str, PieceCache] = {}
 
 
@@ -223,7 +222,8 @@ def place(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
     packed = plan(counts, capacity)
     keys = packed[:, 0] << 48 | packed[:, 1] if len(packed) else np.zeros(0, np.int64)
     held = spark.sparkContext.broadcast((keys, packed))  # at most some hundred thousand rows: lengths in a bin sum to capacity
-    salts = F.broadcast(spark.createDataFrame([(n, -(-c // RANK_ROWS)) for n, c in counts.items()], "length long, salts long"))
+    # A length's c pieces are ranked in about sqrt(c) salted groups of about sqrt(c): neither groups nor pieces of one gather.
+    salts = F.broadcast(spark.createDataFrame([(n, 1 + isqrt(c)) for n, c in counts.items()], "length long, salts long"))
     salted = pieces.join(salts, "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece), salts)")).drop("salts")
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     ranked = salted.join(base.hint("shuffle_merge"), ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
@@ -249,6 +249,3 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     """
     spark = docs.sparkSession
     return place(spark, Scratch(spark).save(cut_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
-
-
-Encoder = Callable[[list[bytes]], list]
