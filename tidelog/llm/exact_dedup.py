@@ -82,7 +82,8 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     links = index.groupBy("key", "sha", "n_bytes").agg(F.sum("rows").alias("group_size"), F.count("*").alias("ids"), first)
     several = scratch.save(links.filter("group_size > 1").select("key", "sha", "group_size", F.col("first.doc_id").alias("keep_id"), (-F.col("first.col1")).alias("keep_chars")), "links")
     checked = several.join(compare_bytes(docs, several), "sha").withColumn("group_size", F.when(F.col("same"), F.col("group_size")).otherwise(F.raise_error("two texts share a SHA-256")))
-    out = index.join(checked.drop("key", "same"), "sha", "left")
+    # Stored, so that both sides are shuffled for this join alone and Spark can split a hot link's rows.
+    out = index.join(scratch.save(checked.drop("key", "same"), "checked").hint("shuffle_merge"), "sha", "left")
     one = F.col("group_size").isNull()
     is_kept = one | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
     keep = F.when(one, F.col("doc_id")).otherwise(F.col("keep_id"))
