@@ -176,7 +176,6 @@ def test_suffix_dedup_of_a_corpus(spark):
 
 def test_suffix_dedup_of_hot_strings(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 20)
-    monkeypatch.setattr(suffix_dedup, "SPANS", 10)
     texts = corpus(7, 120)
     out = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs_of(spark, texts)).collect()}
     assert out == covered(list(enumerate(texts)))

@@ -31,8 +31,6 @@ from tidelog.llm.common import Scratch, by_bytes, mapped, texts
 LENGTH, Q = 100, 32
 SPAN = LENGTH - Q + 1  # q-grams in a window
 HOT = 4096
-#: Spans of all documents that are broadcast at most; beyond, texts and spans are shuffled.
-SPANS = 1_000_000
 SLICE = 2 << 20
 _G = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
@@ -261,16 +259,13 @@ def _open(z: bytes) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, z, ...) joined with spans (doc_id, list): without moving texts where spans are few."""
-    if spans.agg(F.coalesce(F.sum(F.size("list") + 1), F.lit(0))).first()[0] <= SPANS:
-        return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(spans), "doc_id", how)
-    return mapped(docs, _squeeze, "doc_id long, z binary").join(spans, "doc_id", how)
+    """docs (doc_id, text) as (doc_id, z) joined with spans (doc_id, list): compressed texts are shuffled, as spans grow with the corpus."""
+    return mapped(docs, _squeeze, "doc_id long, z binary").join(spans.hint("shuffle_merge"), "doc_id", how)
 
 
-def _raw(b: pa.RecordBatch) -> list[bytes]:
-    if "raw" in b.schema.names:
-        return [x or b"" for x in b.column("raw").to_pylist()]
-    return [_open(x) for x in b.column("z").to_pylist()]
+def _raw(b: pa.RecordBatch) -> Iterator[bytes]:
+    """One text at a time: a batch is bounded by its compressed bytes."""
+    return map(_open, b.column("z").to_pylist())
 
 
 _OPENED = "gram long, doc_id long, packed long, bytes binary"
