@@ -243,6 +243,23 @@ def test_entities_side_by_side_stay_apart():
     assert kinds("+1 (171) 555-2028 4929348385146306 a@b.example") == [("phone", "+1 (171) 555-2028"), ("card", "4929348385146306"), ("email", "a@b.example")]
 
 
+def test_whole_secrets_and_cards_go():
+    """Keys of any length, letters alone, and cards written 4-6-5."""
+    body = "aB3" * 50
+    secrets = [f"sk-{body}", f"ghp_{body * 200}", "sk-" + "ab1-cd_2" * 40, "0a" * 70, "AB" * 16, "AKIA" + "QWERTYUIOPASDFGH"]
+    for x in secrets:
+        new, counts = pii.replace(f"key {x} here", KEY)
+        assert counts == {"secret": 1}
+        assert len(new) == len(f"key {x} here")
+        tail = x[4:]
+        assert not any(tail[i : i + 12] in new for i in range(len(tail) - 11))
+    long = ["a0" * 500 + x for x in "abcdef"]
+    assert len({pii.surrogate(KEY, "secret", x) for x in long}) == 6
+    new, counts = pii.replace("card 3782 822463 10005 and 3782-822463-10005.", KEY)
+    assert counts == {"card": 2}
+    assert "822463" not in new
+
+
 def test_surrogates_are_permutations():
     numbers = [f"{a:03d}-{b:02d}-1234" for a in range(0, 1000, 7) for b in range(0, 100, 9)]
     made = {pii.surrogate(KEY, "ssn", x) for x in numbers}

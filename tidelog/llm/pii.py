@@ -37,17 +37,21 @@ _LOWER = "a-zß-öø-ÿα-ωа-я"
 _NAME = f"[{_UPPER}][{_LOWER}]+"
 _KINDS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?:(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,128}|AKIA[0-9A-Z]{16}|(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,128}|(?=[0-9A-F]{0,63}[A-F])(?=[0-9A-F]{0,63}[0-9])[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,}+|AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])[0-9a-f]{32,}+|(?=[0-9]*+[A-F])[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:(?! (?:[0-9]{1,3}\.){3}[0-9])[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "person": rf"(?<![{_UPPER}{_LOWER}])(?:{'|'.join(_TITLES)})\.? {_NAME}(?: {_NAME})?",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
 #: A text without any of these has no entity: cheaper than the pattern.
-_HINT = re.compile(rf"[0-9@]|(?:{'|'.join(_TITLES)})\.? [{_UPPER}]|(?:sk|pk|ghp|xox[bp])[-_]")
+_HINT = re.compile(rf"[0-9@]|(?:{'|'.join(_TITLES)})\.? [{_UPPER}]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{{32}}|[A-F]{{32}}")
+
+
+#: Characters that are permuted as one number.
+BLOCK = 160
 
 
 def _feistel(key: bytes, label: str, x: int, size: int) -> int:
@@ -71,7 +75,17 @@ def _feistel(key: bytes, label: str, x: int, size: int) -> int:
 
 
 def permuted(key: bytes, label: str, text: str, sets: Callable[[str], str | None] = _SET_OF.get) -> str:
-    """text with its varying characters permuted; others, and so the format, stay."""
+    """text with its varying characters permuted; others, and so the format, stay.
+
+    Beyond BLOCK characters, blocks are permuted in turn, each by a digest of those before it: still a permutation, in
+    time that grows with the length.
+    """
+    if len(text) > BLOCK:
+        before, out = hashlib.sha256(), []
+        for i in range(0, len(text), BLOCK):
+            out.append(permuted(key, f"{label}:{before.hexdigest()}" if i else label, text[i : i + BLOCK], sets))
+            before.update(text[i : i + BLOCK].encode())
+        return "".join(out)
     own = [sets(c) for c in text]
     x, size = 0, 1
     for c, s in zip(text, own, strict=True):
