@@ -260,6 +260,32 @@ def test_whole_secrets_and_cards_go():
     assert "822463" not in new
 
 
+def test_persons_without_titles_and_again():
+    """Whole names go, with or without a title, and again where they stand alone; like names have like surrogates."""
+    cases = {
+        "We met Alice Smith there.": ["Alice", "Smith"],
+        "Yes, Mrs Alice Smith came. Smith said that Alice's hat and the Smiths were late.": ["Alice ", "Smith ", "Alice'"],
+        "Dr Keller and Prof. Dr. Weber": ["Keller", "Weber"],
+        "Mr Ivan Petrov Sidorov left": ["Ivan", "Petrov", "Sidorov"],
+        "Mr O'Brien and Mrs. J. Fenton and Mr McDonald": ["Brien", "J.", "Fenton", "Donald"],
+        "Herr von der Leyen und Frau Smith-Jones": ["Leyen", "Smith", "Jones"],
+        "with Mr Dvořák": ["Dvo", "řák"],
+    }
+    for text, gone in cases.items():
+        new, counts = pii.replace(text, KEY)
+        assert set(counts) == {"person"}
+        assert len(new.split(" ")) == len(text.split(" "))
+        for x in gone:
+            assert x not in new, (text, new)
+    new, counts = pii.replace("Smith wrote to Mrs Alice Smith. Alice and Smith met the smith, Smithson and Malice.", KEY)
+    w = new.split(" ")
+    assert w[0] == w[5].rstrip(".") == w[8] and w[4] == w[6] and w[4] in pii.FEMALE
+    assert new.endswith("the smith, Smithson and Malice.") and counts == {"person": 4}
+    for same in ("The Boston river runs. Maria and the others go.", "Mr and Mrs are titles", "the Drum of Alice in it"):
+        assert pii.replace(same, KEY) == (same, {})
+    assert pii.replace("Mr Smith The rest. The end.", KEY)[0].endswith(" The rest. The end.")
+
+
 def test_surrogates_are_permutations():
     numbers = [f"{a:03d}-{b:02d}-1234" for a in range(0, 1000, 7) for b in range(0, 100, 9)]
     made = {pii.surrogate(KEY, "ssn", x) for x in numbers}

@@ -4,7 +4,9 @@ Every entity is replaced by a keyed permutation of its own format: the character
 alphabet and case) form a mixed-radix number, and a Feistel network with HMAC rounds, walked until it stays in range,
 permutes all numbers of that format. A permutation never gives two entities one surrogate and always gives one entity
 the same, in any document, task or run with the key: distinctness and coreference hold over the whole corpus without a
-shuffle. Known first names permute within the list of their gender. Each batch's replacements are also checked: two
+shuffle. Known first names permute within the list of their gender.
+Persons are found behind a title or by a known first name with a name behind it; what names a person there is replaced in
+the rest of the text too. Each batch's replacements are also checked: two
 entities of a type with one surrogate would stop the run.
 """
 
@@ -26,15 +28,25 @@ from tidelog.llm.common import Scratch, mapped
 FEMALE = "Alice Amelia Anna Camille Carla Carmen Charlotte Chloe Clara Elena Elizabeth Emma Eva Hannah Helga Ines Isabel Jane Julia Karin Laura Lea Lucia Luisa Maria Marie Mary Nina Olivia Paula Petra Rosa Sarah Sofia Sophie Susan Ursula Valerie".split()
 MALE = "Alan Andreas Antonio Carlos Charles Claude David Diego Edward Emil Francisco Frank George Hans Henri Hugo Jack James Javier Jean John Jorge Juan Karl Klaus Louis Lukas Manuel Marc Michael Otto Pablo Paul Pedro Peter Pierre Robert Thomas".split()
 _TITLES = {"Mr": MALE, "Herr": MALE, "Monsieur": MALE, "Señor": MALE, "Don": MALE, "Mrs": FEMALE, "Ms": FEMALE, "Miss": FEMALE, "Frau": FEMALE, "Madame": FEMALE, "Mme": FEMALE, "Señora": FEMALE, "Doña": FEMALE}
+#: Titles that say no gender.
+_OTHERS = "Dr Dra Prof Professor Professeur Profesor Profesora Doctor Doctora Docteur Doktor Mx Sir Dame Lord Lady Rev Reverend Hon Capt Captain Col Colonel Lt Lieutenant Sgt Sergeant Gen Maj Senator Judge Mlle Mademoiselle Sra Srta Señorita Hr".split()
 
 #: Alphabets: a character varies within its own.
-_SETS = [string.digits, string.ascii_lowercase, string.ascii_uppercase, "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
+_SETS = [string.digits, string.ascii_lowercase, string.ascii_uppercase, "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower()), "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper()), "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
 _SET_OF = {c: s for s in _SETS for c in s}
 _HEX = "0123456789abcdef"
 
-_UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
-_LOWER = "a-zß-öø-ÿα-ωа-я"
-_NAME = f"[{_UPPER}][{_LOWER}]+"
+_UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩЁА-Я" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper())
+_LETTER = r"[^\W\d_]"
+#: A name's word: O'Brien, McDonald, Smith-Jones; 's behind it is no part of it.
+_NAME = rf"[{_UPPER}](?:{_LETTER}++|['’][{_UPPER}]{_LETTER}++)(?:['’-][{_UPPER}]{_LETTER}*+)*+"
+_INITIAL = rf"[{_UPPER}]\.(?:[ -]?[{_UPPER}]\.)*+"
+_PARTICLE = r"(?:von|van|vom|zu|zum|zur|de|der|den|del|della|di|da|du|des|dos|das|la|le|bin|ibn|al|y|ter|ten)"
+#: Capitalised words that follow a name without being part of it.
+_NOT_NAMES = "The|He|She|It|They|We|You|In|On|At|And|But|Or|For|This|That|These|Those|There|When|Then|If|As|His|Her|Who|What|Is|Was|Has|Der|Die|Das|Er|Sie|Es|Und|Im|Am|Il|Elle|Les|Los|Las|El|Et|Pero|Mais|" + "|".join([*_TITLES, *_OTHERS])
+_MORE = rf"(?: (?:{_PARTICLE} ){{0,3}}(?:{_INITIAL}|(?!(?:{_NOT_NAMES})(?!{_LETTER})){_NAME}))"
+_FIRST_NAMES = "|".join(sorted({*FEMALE, *MALE}))
+_TITLE = rf"(?:{'|'.join([*_TITLES, *_OTHERS])}|(?:M|Fr|Sr)(?=\.))"
 _KINDS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![0-9A-Za-z])(?:(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,}+|AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])[0-9a-f]{32,}+|(?=[0-9]*+[A-F])[0-9A-F]{32,}+)(?![0-9A-Za-z])",
@@ -43,11 +55,11 @@ _KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:(?! (?:[0-9]{1,3}\.){3}[0-9])[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "person": rf"(?<![{_UPPER}{_LOWER}])(?:{'|'.join(_TITLES)})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![^\W_])(?:{_TITLE}(?:\.?[ \n]{_TITLE}){{0,2}}\.?[ \n](?:{_PARTICLE} ){{0,3}}(?:{_INITIAL}|{_NAME}){_MORE}*+|(?:{_FIRST_NAMES})(?!{_LETTER})(?:\n(?!(?:{_NOT_NAMES})(?!{_LETTER})){_NAME}|{_MORE}){_MORE}*+)",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
 #: A text without any of these has no entity: cheaper than the pattern.
-_HINT = re.compile(rf"[0-9@]|(?:{'|'.join(_TITLES)})\.? [{_UPPER}]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{{32}}|[A-F]{{32}}")
+_HINT = re.compile(rf"[0-9@]|{_TITLE}\.?[ \n]|(?:{_FIRST_NAMES})[ \n]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{{32}}|[A-F]{{32}}")
 
 
 #: Characters that are permuted as one number.
@@ -159,12 +171,32 @@ def _word(key: bytes, word: str, names: list[str] | None) -> str:
     return new
 
 
+_WORD_ALONE = re.compile(rf"(?<![^\W_]){_NAME}")
+_TITLES_BEFORE = re.compile(rf"(?:{_TITLE}\.?[ \n])*")
+_WORDS = re.compile(rf"{_NAME}|[{_UPPER}](?!{_LETTER})")
+
+
 def _person(key: bytes, text: str) -> str:
-    """Titles stay; a known first name becomes another of its gender, other names keep their script, length and case."""
-    head, *words = text.split(" ")
-    names = _TITLES[head.rstrip(".")]
-    other = MALE if names is FEMALE else FEMALE
-    return " ".join([head, *(_word(key, w, names if w in names else other if w in other else None) for w in words)])
+    """Titles and particles stay; a known first name becomes another of its gender, other names keep their script, length and case."""
+    head = _TITLES_BEFORE.match(text).end()
+    return text[:head] + _WORDS.sub(lambda m: _word(key, m[0], None), text[head:])
+
+
+def names_of(text: str, persons: list[str]) -> set[str]:
+    """Words of the persons found in a text that stand for them alone as well.
+
+    The first ones do, up to a family name; those behind only if the text doesn't have them in lower case too.
+    """
+    sure, more = set(), set()
+    for person in persons:
+        done = False
+        for m in _WORDS.finditer(person, _TITLES_BEFORE.match(person).end()):
+            if len(m[0]) > 1:
+                (more if done else sure).add(m[0])
+                done = done or m[0] not in FEMALE and m[0] not in MALE
+    if more:
+        more.difference_update([w.capitalize() for w in re.findall(rf"{_LETTER}+", text) if w.islower()])
+    return sure | more
 
 
 def _secret(key: bytes, text: str) -> str:
@@ -209,7 +241,21 @@ def replace(text: str, key: bytes, seen: dict[tuple[str, str], str] | None = Non
             raise ValueError(f"two entities of type {kind} have one surrogate")
         return new
 
-    return _PATTERN.sub(one, text), counts
+    found = list(_PATTERN.finditer(text))
+    names = names_of(text, [m[0] for m in found if m.lastgroup == "person"])
+
+    def again(m: re.Match) -> str:
+        if m[0] not in names:
+            return m[0]
+        counts["person"] = counts.get("person", 0) + 1
+        return _word(key, m[0], None)
+
+    between = lambda a, b: _WORD_ALONE.sub(again, text[a:b]) if names else text[a:b]
+    out, at = [], 0
+    for m in found:
+        out += [between(at, m.start()), one(m)]
+        at = m.end()
+    return "".join([*out, between(at, len(text))]), counts
 
 
 def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
