@@ -309,6 +309,20 @@ def test_decontamination(spark):
     assert left == [2, 3, 4, 6]
 
 
+def _found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"]) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+
+
+def test_decontamination_of_numbers(spark):
+    """Windows of numbers are matched by their values: a copy is found, other numbers in the same pattern are not."""
+    items = ["12 + 7 * 3 - 5 = 28 or 29, 30", "Compute 4 9 16 25 36 49 64 81 100 121 next please now"]
+    copy = f"see: {items[0]}; and {items[1]} end"
+    out = _found(spark, items, [copy, items[0].replace("7", "8").replace("28", "31"), "Compute 5 8 17 26 37 50 65 82 101 122 next please now"])
+    assert set(out) == {(0, 0), (0, 1)}
+    assert out[0, 1] == (10, 10)
+
+
 def test_langid_learns_only_from_its_folds(spark):
     texts = ["the cat sat on the mat and then it ran"] * 40 + ["le chat dort sur la table et puis il mange"] * 40
     langs = ["en"] * 40 + ["fr"] * 40

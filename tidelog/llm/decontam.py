@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Texts become tokens in which numbers, names and units are typed: the type is the template, the value a slot. Windows of
-five template tokens are hashed; the benchmark's windows, broadcast where few and shuffled where not, meet those of all
-documents. A document that holds at least `least` of an item's windows is a candidate; its slots must then agree: an
-item's value stands for one value throughout, and two values never for one. That finds an item whose numbers, names or
-units were replaced, and leaves accidents alone.
+five template tokens are hashed, those of many slots with their values; the benchmark's windows, broadcast where few and
+shuffled where not, meet those of all documents. A document that holds at least `least` of an item's windows is a
+candidate; its slots must then agree, as many as that: an item's value stands for one value throughout, and no other
+value for it. That finds an item whose numbers, names or units were replaced, and leaves accidents alone. Windows of the
+plain words meet as well, and there nothing else is asked: a copy is found however it is cased, spaced or wrapped.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from tidelog.llm.common import BROADCAST_ROWS, Scratch, sized
 
 WINDOW = 5
 LEAST = 0.8
-#: Windows with more slots than this say too little to be matched.
+#: Windows with more slots than this say too little without their values.
 MOST_SLOTS = 3
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 _UNITS = "km|cm|mm|kg|mg|ml|kb|mb|gb|tb|mph|kmh|hz|kwh|m|g|l|s|h|km2|m2|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|kilos?|pounds?|ounces?|tons?|tonnes?|litres?|liters?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|heures?|jours?|stunden?|tagen?|horas?|litros?|metros?"
@@ -25,6 +26,7 @@ _UNITS = "km|cm|mm|kg|mg|ml|kb|mb|gb|tb|mph|kmh|hz|kwh|m|g|l|s|h|km2|m2|meters?|
 def tokens_of(text: Column) -> Column:
     """Lower-case words without punctuation; a slot has its type's control character before its value."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x01-\\x03]", " ")
+    t = F.regexp_replace(t, "[\\s\\u0085\\p{Z}]+", " ")
     # A capitalised word behind a lower-case one, inside a sentence, is a name.
     t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)(?![\\p{L}])", f"{NAME}$1")
     t = F.lower(F.regexp_replace(t, "(?<=\\d)[.,:](?=\\d)", ""))
@@ -39,67 +41,111 @@ def template(token: Column) -> Column:
     return F.when(first <= UNIT, first).otherwise(token)
 
 
-def windows_of(hashes: Column) -> Column:
-    """Hashes of each five token hashes in a row; none where there are fewer."""
-    at = F.when(F.size(hashes) >= WINDOW, F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*(F.element_at(hashes, i + k) for k in range(WINDOW))))
+def plain(token: Column) -> Column:
+    return F.when(F.substring(token, 1, 1) <= UNIT, F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """df (with tokens) and the hashes of its tokens' templates and of the plain tokens."""
+    return df.withColumn("forms", F.transform("tokens", lambda x: F.xxhash64(template(x)))).withColumn("words", F.transform("tokens", lambda x: F.xxhash64(plain(x))))
+
+
+def _windows(make) -> Column:
+    """make(place) for each five tokens in a row; none where there are fewer."""
+    at = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, make)
+
+
+def _hash(name: str, i: Column) -> Column:
+    return F.xxhash64(*(F.element_at(name, i + k) for k in range(WINDOW)))
+
+
+def _slots(i: Column) -> Column:
+    return sum((F.when(F.element_at("forms", i + k) != F.element_at("words", i + k), 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
+
+
+def plain_windows() -> Column:
+    return _windows(lambda i: _hash("words", i))
+
+
+def template_windows() -> Column:
+    """Of templates; with more than MOST_SLOTS slots, of the plain tokens. Without slots, both are the same."""
+    return _windows(lambda i: F.when(_slots(i) > MOST_SLOTS, _hash("words", i)).otherwise(_hash("forms", i)))
+
+
+def all_windows() -> Column:
+    """The windows of both kinds; those that are the same for both, once."""
+    other = _windows(lambda i: F.when(_slots(i).between(1, MOST_SLOTS), _hash("forms", i)))
+    return F.concat(plain_windows(), F.filter(other, lambda w: w.isNotNull()))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, window, slots) of windows that hold enough words; slots: values by place, null for words."""
-    own = benchmark.select(F.col("item_id"), tokens_of(F.col("text")).alias("tokens")).withColumn("windows", windows_of(F.transform("tokens", lambda x: F.xxhash64(template(x)))))
-    cut = own.select("item_id", "tokens", F.posexplode("windows").alias("ipos", "window"))
+    """(item_id, ipos, window, word_window, slots): a place's template and plain windows; slots: values by place, null for words."""
+    own = hashed(benchmark.select(F.col("item_id"), tokens_of(F.col("text")).alias("tokens"))).withColumn("windows", F.arrays_zip(template_windows().alias("window"), plain_windows().alias("word_window")))
+    cut = own.select("item_id", "tokens", F.posexplode("windows").alias("ipos", "w")).select("item_id", "tokens", "ipos", F.col("w.window").alias("window"), F.col("w.word_window").alias("word_window"))
     values = F.transform(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: F.when(F.substring(x, 1, 1) <= UNIT, x))
-    return cut.select("item_id", "ipos", "window", values.alias("slots")).filter(F.size(F.filter("slots", lambda x: x.isNotNull())) <= MOST_SLOTS)
+    return cut.select("item_id", "ipos", "window", "word_window", values.alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, containment): one row for each item that a document holds.
 
-    containment is the share of the item's distinct windows found in the document. Items of fewer than five tokens, and
+    containment is the share of the item's distinct windows found in the document, of plain windows or of templates with
+    agreeing slots, whichever is greater. Items of fewer than five tokens, and
     null or empty texts on either side, match nothing. Rows that repeat a doc_id count as one document. Rows with a
     null doc_id or item_id take no part. Only doc_id, text and item_id are read.
     """
     scratch = Scratch(docs.sparkSession)
     items = scratch.save(item_windows(benchmark.filter(F.col("item_id").isNotNull())), "items")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    forms = items.select("item_id", "window", F.lit(1).alias("form"), F.lit(0).alias("word"))
+    both = forms.unionByName(items.select("item_id", F.col("word_window").alias("window"), F.lit(0).alias("form"), F.lit(1).alias("word")))
+    both = scratch.save(both.groupBy("item_id", "window").agg(F.max("form").alias("form"), F.max("word").alias("word")), "windows")
+    sizes = both.groupBy("item_id").agg(F.sum("form").alias("n_form"), F.sum("word").alias("n_word"))
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = known.select("doc_id", F.transform(tokens_of(F.col("text")), lambda x: F.xxhash64(template(x))).alias("hashes"))
-    spread = hashes.select("doc_id", F.explode(windows_of(F.col("hashes"))).alias("window"))
-    met = spread.join(sized(items.select("window").distinct()), "window", "left_semi").groupBy("doc_id", "window").agg(F.count("*").alias("n"))
+    hashes = hashed(known.select("doc_id", tokens_of(F.col("text")).alias("tokens"))).select("doc_id", "forms", "words")
+    spread = hashes.select("doc_id", F.explode(all_windows()).alias("window"))
+    met = spread.join(sized(both.select("window").distinct()), "window", "left_semi").groupBy("doc_id", "window").agg(F.count("*").alias("n"))
     met = scratch.save(met, "met")
-    pairs = met.join(sized(items.select("item_id", "window").distinct()), "window").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"))
-    close = pairs.join(sized(sizes), "item_id").filter(F.col("n_found") >= least * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"))
-    close = scratch.save(close, "close")
-    slotted = items.filter(F.exists("slots", lambda x: x.isNotNull()))
+    pairs = met.join(sized(both), "window").groupBy("doc_id", "item_id").agg(F.sum("form").alias("form"), F.sum("word").alias("word"))
+    pairs = pairs.join(sized(sizes), "item_id")
+    close = scratch.save(pairs.filter((F.col("form") >= least * F.col("n_form")) | (F.col("word") >= least * F.col("n_word"))), "close")
+    out = lambda x: x.select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"))
+    as_words = close.select("doc_id", "item_id", F.col("n_word").alias("n_windows"), F.col("word").alias("n_found"))
+    as_forms = close.select("doc_id", "item_id", F.col("n_form").alias("n_windows"), F.col("form").alias("n_found"))
+    slotted = items.filter(F.exists("slots", lambda x: x.isNotNull())).select("item_id", "ipos", "window", "slots")
     if slotted.isEmpty():
-        return close
-    bad = inconsistent(known, close, slotted, scratch)
-    return close.join(bad, ["doc_id", "item_id"], "left_anti")
+        return out(as_words)
+    asked = close.filter(F.col("form") >= least * F.col("n_form"))
+    bad = inconsistent(known, asked, slotted, scratch, least)
+    fit = asked.select("doc_id", "item_id").join(bad, ["doc_id", "item_id"], "left_anti").join(as_forms, ["doc_id", "item_id"])
+    found = out(as_words.filter(F.col("n_found") >= least * F.col("n_windows"))).unionByName(out(fit))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_windows", "n_found")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_windows", "b.n_found", "b.containment")
 
 
-def inconsistent(known: DataFrame, close: DataFrame, slotted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, item_id) of candidates in which no placement of the item has agreeing slots.
+def inconsistent(known: DataFrame, close: DataFrame, slotted: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(doc_id, item_id) of candidates in which no placement of the item has `least` of its values agreeing.
 
     A placement is a difference of positions at which at least half as many windows meet as at the best one.
     """
     with_slots = close.join(sized(slotted.select("item_id").distinct()), "item_id", "left_semi").select("doc_id", "item_id")
     ids = with_slots.select("doc_id").distinct()
     held = known.join(sized(ids), "doc_id", "left_semi").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
-    held = held.withColumn("windows", windows_of(F.transform("tokens", lambda x: F.xxhash64(template(x)))))
+    held = hashed(held).withColumn("windows", template_windows())
     marks = F.transform("tokens", lambda x: F.when(F.substring(x, 1, 1) <= UNIT, x))
     placed = F.transform("windows", lambda w, i: F.struct(i.alias("pos"), w.alias("window"), F.lit(None).cast("string").alias("none")))
     cut = held.withColumn("marks", marks).select("doc_id", "marks", F.explode(placed).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"), F.slice("marks", F.col("w.pos") + 1, WINDOW).alias("values"))
     met = cut.join(sized(slotted), "window").join(with_slots, ["doc_id", "item_id"], "left_semi")
-    each = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), F.explode(F.arrays_zip("slots", "values")).alias("s")).filter("s.slots is not null")
+    each = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), F.explode(F.arrays_zip("slots", "values")).alias("s")).filter("s.slots is not null and s.values is not null")
     each = each.select("doc_id", "item_id", "shift", F.col("s.slots").alias("theirs"), F.col("s.values").alias("ours")).distinct()
     key = ["doc_id", "item_id", "shift"]
-    one = each.groupBy(*key, "theirs").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("a"), F.count("*").alias("met"))
-    two = each.groupBy(*key, "ours").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("b"))
-    placements = one.join(two, key)
+    one = each.groupBy(*key, "theirs").agg(F.count("*").alias("n"), F.min("ours").alias("ours"))
+    two = each.groupBy(*key, "ours").agg(F.count("*").alias("m"))
+    agrees = ((F.col("n") == 1) & (F.col("m") == 1)).cast("int")
+    placements = one.join(two, [*key, "ours"]).groupBy(*key).agg(F.count("*").alias("met"), F.sum(agrees).alias("agreed"))
     best = placements.groupBy("doc_id", "item_id").agg(F.max("met").alias("best"))
     judged = placements.join(best, ["doc_id", "item_id"]).filter(F.col("met") * 2 >= F.col("best"))
-    return scratch.save(judged.groupBy("doc_id", "item_id").agg(F.max((F.col("a") == 1) & (F.col("b") == 1)).alias("fits")).filter("not fits").select("doc_id", "item_id"), "unfit")
+    return scratch.save(judged.groupBy("doc_id", "item_id").agg(F.max(F.col("agreed") >= least * F.col("met")).alias("fits")).filter("not fits").select("doc_id", "item_id"), "unfit")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
