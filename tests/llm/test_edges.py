@@ -323,6 +323,17 @@ def test_decontamination_of_numbers(spark):
     assert out[0, 1] == (10, 10)
 
 
+def test_decontamination_whatever_the_case_and_spacing(spark):
+    """A copy is found if it is wrapped, spaced or cased otherwise, or stands behind a lower-case word; a slot or so may disagree."""
+    item = "the road from Boston to Denver by way of Chicago was built before the war by workers of many lands"
+    short = "Copper conducts heat better than iron"
+    words = "bread milk eggs rice beans flour salt sugar corn wine meat fish".split()
+    many = lambda values: " then ".join(f"they paid {v} for the {w}" for v, w in zip(values, words, strict=True))
+    texts = [item.replace(" ", "\n"), item.replace(" ", "  "), item.lower(), item.upper(), f"we know that {short}", many([*range(31, 42), 41]), many([31] * 12)]
+    out = _found(spark, [item, short, many(range(11, 23))], texts)
+    assert set(out) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 2)}
+
+
 def test_langid_learns_only_from_its_folds(spark):
     texts = ["the cat sat on the mat and then it ran"] * 40 + ["le chat dort sur la table et puis il mange"] * 40
     langs = ["en"] * 40 + ["fr"] * 40
