@@ -200,6 +200,31 @@ def test_substring_dedup_keeps_first_passages(spark):
         assert out[i]["kept_sha256"] == hashlib.sha256(clean[i - 20].encode()).hexdigest()
 
 
+def test_substring_dedup_of_fifty_words(spark):
+    """Passages of 51 words go whole where they come again, but for a few; what goes has an earlier copy of 100 bytes."""
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(200)]
+    texts = [" ".join([*(word() for _ in range(r.randint(0, 40))), p, *(word() for _ in range(20))]) for p in passages * 2]
+    out = {x["doc_id"]: x for x in substring_dedup.substring_dedup(docs_of(spark, texts)).collect()}
+    assert all(out[i]["n_removed"] == 0 for i in range(200))
+    left = [len(p) - out[200 + i]["n_removed"] for i, p in enumerate(passages)]
+    assert sum(x <= 0 for x in left) >= 190
+    assert sum(max(0, x) for x in left) <= 0.04 * sum(map(len, passages))
+    exact = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.suffix_dedup(docs_of(spark, texts)).collect()}
+    assert all(out[i]["n_removed"] <= exact[i] for i in exact)
+
+
+def test_substring_dedup_reaches_far(spark, monkeypatch):
+    """Bytes alike over all of a side are compared again, further out."""
+    monkeypatch.setattr(substring_dedup, "SIDE", 8)
+    text = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(3000))
+    out = {x["doc_id"]: x for x in substring_dedup.substring_dedup(docs_of(spark, [text, "Q" * 500 + text[700:1900] + "Z" * 40])).collect()}
+    assert out[1]["n_removed"] >= 1200
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string, line string, pages string, drop string")
 
