@@ -96,12 +96,29 @@ def test_packing_ids_of_odd_texts(monkeypatch):
     tk = Tokenizer.from_file(model("word_bpe_49k.json"))
     texts = [None, "", " \n", "It's  they're I'LL O'Neil's", "x1y2 3,000.5 a_b--c", "ÉCOLE Ñandú ſtraße İstanbul", "é Å Å ﬁ", "<|endoftext|> a <|startoftext|>b", "北京 wörld…«x»", "a b　c d", "\x00 \x1c \x85 q", "'s 'T 'll x'd", "don`t #tag @you $5.00 50%", "Ⅷ ² ½ ١٢"]
     raw = [(t or "").encode() for t in texts]
-    got = [b"".join(p) for p in packing.encode_ids(raw, model("word_bpe_49k.json"))]
+    got = [b"".join(p) for p in packing.encode_ids(raw, model("word_bpe_49k.json"), True, True)]
     assert got == [b"".join(x.to_bytes(4, "little") for x in tk.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
 def test_vocabulary_is_sound():
-    assert packing.sound(model("word_bpe_49k.json"))
+    assert packing.by_words(model("word_bpe_49k.json")) and packing.sound(model("word_bpe_49k.json"))
+    assert not packing.by_words(model("byte_bpe_50k.json")) and not packing.sound(model("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize(("name", "words", "plain"), [("word_bpe_49k.json", True, True), ("word_bpe_49k.json", True, False), ("byte_bpe_50k.json", False, False)])
+def test_packing_ids_are_the_librarys(monkeypatch, name, words, plain):
+    """Made-up texts of hostile characters, whole and in slices, by every way that a vocabulary may be read."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, tk = random.Random(21), Tokenizer.from_file(model(name))
+    signs = [*"abcdeEXZ'tsdm.,!?&()-_=+[]`~|@#$%^*{}\\/<>\"0189éÉßñžŽſİıŉĸǅ̀́ ΣςσЖж北京한👍🏽½Ⅷ²١\u200b\u00ad", "'re", "'LL", "\x00", "\x1c", "\x85", "\u2028", "\u3000", "\xa0", " ", " ", "\n", "\t", "\r", "\x0b", "<|endoftext|>", "don't", "Straße", "</w>", "Ġ"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["", " ", "\n a", "a \n"]
+    want = [b"".join(x.to_bytes(4, "little") for x in e.ids) for e in tk.encode_batch(texts, add_special_tokens=False)]
+    for size in (4 << 20, 3000, 20):
+        monkeypatch.setattr(packing, "SLICE_BYTES", size)
+        assert [b"".join(p) for p in packing.encode_ids([t.encode() for t in texts], model(name), words, plain)] == want
 
 
 def test_packing_plan_is_full():

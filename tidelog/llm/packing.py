@@ -11,25 +11,40 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, mapped, texts
+from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, cut, mapped, texts
 
-_caches: dict[str, PieceCache] = {}
+_caches: dict[tuple[str, bool], PieceCache] = {}
 
 
 #: A run of letters, then a run of marks: what the vocabulary's pre-tokeniser makes of such a word is these two parts, the
 #: letters in lower case. Letters are those of Latin scripts that composition and lower-casing leave single.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*)([!-&(-/:-@\\[-`{-~]*)")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_MARKS = "!-&(-/:-@\\[-`{-~"
+#: Lines that are no plain word, and the place between a plain word's two parts.
+_OTHER = re.compile(f"^(?![{_LETTERS}]*[{_MARKS}]*$).*$", re.M)
+_BETWEEN = re.compile(f"(?<=[{_LETTERS}])(?=[{_MARKS}])")
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
 _SHOW = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_BYTES))}
+#: How a tokenizer file of this kind normalises and splits. White space ends every token of it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _ids(found: list) -> list[bytes]:
@@ -37,7 +52,7 @@ def _ids(found: list) -> list[bytes]:
 
 
 class Merges:
-    """The vocabulary's merges over bytes, many parts to a call, by tiktoken's merge loop.
+    """The vocabulary's merges over bytes, many words to a call, by tiktoken's merge loop.
 
     A part's last symbol is marked by a zero byte, merged first of all. That loop merges by the merged text's rank, where
     the vocabulary names pairs. Both agree where every token, taken alone, comes out of its own merges as one token: what
@@ -46,42 +61,61 @@ class Merges:
     """
 
     def __init__(self, tokenizer: str):
-        import json
-
         import tiktoken
 
-        model = json.loads(open(tokenizer, encoding="utf-8").read())["model"]
+        model = _file(tokenizer)["model"]
         back = {c: bytes([b]) for b, c in _SHOW.items()}
         raw = lambda t: b"".join(map(back.__getitem__, t.removesuffix("</w>"))) + b"\0" * t.endswith("</w>")
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        made = [*(_SHOW[b] + "</w>" for b in range(256)), *(x + y for x, y in merges)]
+        made = [*(_SHOW[b] + "</w>" for b in range(256)), *(x + y for x, y in _pairs(model))]
         single = [_SHOW[b] for b in range(256)]
-        self.names = [*made, *single]
+        names = [*made, *single]
         ranks = {raw(t): k for k, t in enumerate(made)} | {bytes([b]): len(made) + b for b in range(256)}
-        self.id_of = np.array([model["vocab"][t] for t in self.names], "<u4")
-        self.ends = np.array([t.endswith("</w>") for t in self.names])
-        self.coder = tiktoken.Encoding("merges", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.id_of = np.array([model["vocab"][t] for t in names], "<u4")
+        self.ends = np.array([t.endswith("</w>") for t in names])
+        self.coder = tiktoken.Encoding("merges", pat_str="[^ \n]+", mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, parts: list[str]) -> list[bytes]:
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Each plain word's ids. A thousand words are one text: parts end with a zero byte, words with a line end."""
         out = []
-        for a in range(0, len(parts), 4000):
-            own = parts[a : a + 4000]
-            found = np.array(self.coder.encode_ordinary("\0 ".join(own) + "\0"), np.int64)
-            stops = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
-            raw = self.id_of[found].tobytes()
-            out += [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        for a in range(0, len(words), 4000):
+            text = _BETWEEN.sub("\0 ", "\n".join(words[a : a + 4000]).lower()).replace("\n", "\0\n") + "\0\n"
+            found = np.array(self.coder.encode_ordinary(text), np.int64)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            parts = np.cumsum(raw == 0)[raw == 10]  # parts up to each word's end
+            stops = (4 * (np.flatnonzero(self.ends[found])[parts - 1] + 1)).tolist()
+            ids = self.id_of[found].tobytes()
+            out += [ids[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
         return out
 
 
-def sound(tokenizer: str) -> bool:
-    """Whether every token of the vocabulary, taken alone, is one token: see Merges."""
+def _file(tokenizer: str) -> dict:
     import json
 
+    with open(tokenizer, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _pairs(model: dict) -> list[tuple[str, str]]:
+    return [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+
+
+@lru_cache
+def by_words(tokenizer: str) -> bool:
+    """Whether texts may be cut at white space: the file normalises and splits as _NORMALIZER and _SPLIT say, and nothing else does."""
+    d = _file(tokenizer)
+    return (d["normalizer"], d["pre_tokenizer"], d["post_processor"], d["truncation"], d["padding"]) == (_NORMALIZER, _SPLIT, None, None, None) and all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not re.search(r"\s", x["content"]) for x in d["added_tokens"])
+
+
+@lru_cache
+def sound(tokenizer: str) -> bool:
+    """Whether plain words may go through Merges: every token of the vocabulary, taken alone, is one token."""
     from tokenizers import Tokenizer
     from tokenizers.models import BPE
 
-    model = json.loads(open(tokenizer, encoding="utf-8").read())["model"]
-    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    model = _file(tokenizer)["model"]
+    if not by_words(tokenizer) or model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout") or model.get("ignore_merges"):
+        return False
+    merges = _pairs(model)
     made = [x + y for x, y in merges]
     last, inner = (Tokenizer(BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": "</w>"} if s else {}))) for s in (True, False))
     one = lambda tk, texts, names: all(x.ids == [model["vocab"][n]] for x, n in zip(tk.encode_batch(texts), names, strict=True))
@@ -89,34 +123,36 @@ def sound(tokenizer: str) -> bool:
     return len(set(made)) == len(made) and one(last, [t.removesuffix("</w>") for t in tails], tails) and one(inner, others, others)
 
 
-def _cache(tokenizer: str) -> PieceCache:
-    if tokenizer not in _caches:
-        import os
+def _library(tokenizer: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer)
 
-        tk = Tokenizer.from_file(tokenizer)
 
-        merges = Merges(tokenizer)
+def _cache(tokenizer: str, plain: bool) -> PieceCache:
+    """plain: words of letters and marks go through Merges, which `sound` allows; all others, and else all, through the library."""
+    if (tokenizer, plain) not in _caches:
+        tk = _library(tokenizer)
+        merges = Merges(tokenizer) if plain else None
+        whole = lambda words: _ids(tk.encode_batch_fast(words, add_special_tokens=False))
 
-        def encode(words: list[bytes]) -> list[bytes]:
-            out: dict[bytes, bytes] = {}
-            rest, parts = [], {}
-            for w in words:
-                m = _PLAIN.fullmatch(w.decode())
-                if m:
-                    parts[w] = tuple(p for p in (m[1].lower(), m[2]) if p)
-                else:
-                    rest.append(w)
-            own = list({p for x in parts.values() for p in x})
-            ids = dict(zip(own, merges(own) if own else [], strict=True))
-            out.update((w, b"".join(ids[p] for p in x)) for w, x in parts.items())
-            out.update(zip(rest, _ids(tk.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)), strict=True))
-            return [out[w] for w in words]
+        def encode(raw: list[bytes]) -> list[bytes]:
+            lines = b"\n".join(raw).decode()
+            words = lines.split("\n")
+            if merges is None:
+                return whole(words)
+            others = _OTHER.findall(lines)
+            if not others:
+                return merges(words)
+            apart = dict(zip(others, whole(others), strict=True))
+            ids = iter(merges([w for w in words if w not in apart]))
+            return [apart[w] if w in apart else next(ids) for w in words]
 
-        _caches[tokenizer] = PieceCache(encode, 48 << 20, 600_000)
-    return _caches[tokenizer]
+        _caches[tokenizer, plain] = PieceCache(encode, 48 << 20, 600_000)
+    return _caches[tokenizer, plain]
 
 
 def _after_space(text: bytes, i: int) -> int:
@@ -124,36 +160,49 @@ def _after_space(text: bytes, i: int) -> int:
     return min(found) if found else -1
 
 
-def encode_ids(docs: list[bytes], tokenizer: str) -> Iterator[Iterator[bytes]]:
-    """For each text, its ids as little-endian 32-bit numbers, in one or more parts. White space ends every token of this vocabulary, so words are encoded alone."""
-    cache = _cache(tokenizer)
-
-    def long(text: bytes) -> Iterator[bytes]:
-        begin = 0
-        while begin < len(text):
-            end = _after_space(text, begin + SLICE_BYTES) if len(text) - begin > SLICE_BYTES else -1
-            words = text[begin : end if end >= 0 else len(text)].split()
-            yield b"".join(map(cache([words]), words))
-            begin = end if end >= 0 else len(text)
+def encode_ids(docs: list[bytes], tokenizer: str, words: bool, plain: bool) -> Iterator[Iterator[bytes]]:
+    """For each text, its ids as little-endian 32-bit numbers, in one or more parts.
 
+    words: as by_words says, texts are cut at white space and words encoded alone; else whole. plain: as `sound` says.
+    """
+    if not words:
+        tk = _library(tokenizer)
+        for d in docs:
+            yield iter(_ids([tk.encode(d.decode(), add_special_tokens=False)]))
+        return
+    cache = _cache(tokenizer, plain)
     for a, b in by_bytes(docs, SLICE_BYTES):
         if b - a == 1 and len(docs[a]) > SLICE_BYTES:
-            yield long(docs[a])
-            continue
-        words = [d.split() for d in docs[a:b]]
-        get = cache(words)
-        for w in words:
-            yield iter((b"".join(map(get, w)),))
+            yield (part for s in cut(docs[a], _after_space, SLICE_BYTES) for part in _slice_ids([s], cache))
+        else:
+            yield from map(iter, zip(_slice_ids(docs[a:b], cache)))
+
+
+def _slice_ids(docs: list[bytes], cache: PieceCache) -> Iterator[bytes]:
+    """Each text's ids: words are split, told apart and put together in arrays, so that Python sees each distinct one once."""
+    split = pc.ascii_split_whitespace(pa.array(docs, pa.large_binary()).cast(pa.large_string()))
+    words = split.values.dictionary_encode()
+    own = words.dictionary.cast(pa.large_binary()).to_pylist()
+    get = cache([[w for w in own if w]])
+    ids = [get(w) if w else b"" for w in own]
+    flat, many = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    word = words.indices.to_numpy()
+    n = many[word]
+    ends = np.cumsum(n)
+    found = flat[np.arange(n.sum()) + np.repeat((np.cumsum(many) - many)[word] - ends + n, n)].tobytes()
+    stops = (4 * np.r_[0, ends][split.offsets.to_numpy()]).tolist()
+    return (found[i:j] for i, j in zip(stops[:-1], stops[1:], strict=True))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each text's ids with end_id behind them."""
+    words, plain = by_words(tokenizer), sound(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, parts in zip(b.column("doc_id").to_pylist(), encode_ids(texts(b), tokenizer), strict=True):
+            for doc, parts in zip(b.column("doc_id").to_pylist(), encode_ids(texts(b), tokenizer, words, plain), strict=True):
                 held, piece = bytearray(), 0
                 for part in parts:
                     held += part
