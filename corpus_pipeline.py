@@ -14,8 +14,8 @@ from tidelog.llm.common import shared_dir
 from tidelog.llm.decontam import drop_contaminated
 from tidelog.llm.exact_dedup import drop_copies
 from tidelog.llm.langid import keep_known
+from tidelog.llm.near_dedup import one_of_each
 from tidelog.llm.packing import pack
-from tidelog.llm.simhash import one_of_each
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
