@@ -11,7 +11,9 @@ that q-gram, and only suffixes of one bucket are ever compared:
 3. Undecided spans fetch their bytes and meet by q-gram. Their suffixes start in buckets of 8 bytes, refined by sorting
    on the bucket pointers of later offsets (8, 16, 32, then 36 bytes on), pointers updated in one pass being used in
    the next; a bucket of one is done. After 100 bytes a bucket is a repeated string, and all but its first place go.
-4. A q-gram with more than HOT undecided spans deals its windows out one by one, by 128-bit digest.
+4. A bucket of more than HOT undecided spans is refined before it is met: it falls into two by where the q-gram stands in
+   a window, and each of these by the bytes that all such windows have around it, and so on while it holds more than
+   HOT. At the last such step a bucket's windows are one string, whose first place is a minimum of places.
 
 Each step is exact up to 128 bits of hash; nothing is dropped or capped.
 """
@@ -20,17 +22,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, by_bytes, mapped, texts
+from tidelog.llm.common import Scratch, by_bytes, mapped, sized, texts
 
 LENGTH, Q = 100, 32
 SPAN = LENGTH - Q + 1  # q-grams in a window
-HOT = 4096
+HOT = 1024
 SLICE = 2 << 20
 _G = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
@@ -268,7 +271,8 @@ def _raw(b: pa.RecordBatch) -> Iterator[bytes]:
     return map(_open, b.column("z").to_pylist())
 
 
-_OPENED = "gram long, doc_id long, packed long, bytes binary"
+#: lo and hi: how many bytes at least and at most stand before the q-gram in a window of this bucket.
+_OPENED = "gram long, lo int, hi int, doc_id long, packed long, bytes binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +281,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, raw, own in zip(b.column("doc_id").to_pylist(), _raw(b), b.column("list").to_pylist(), strict=True):
             for r in own:
                 lo = r["packed"] >> 20
-                out.append((r["gram"], doc, r["packed"], raw[lo : lo + (r["packed"] >> 4 & 255) + LENGTH - 1]))
+                out.append((r["gram"], 0, LENGTH - Q, doc, r["packed"], raw[lo : lo + (r["packed"] >> 4 & 255) + LENGTH - 1]))
             if len(out) >= 50_000:
                 yield _opened(out)
                 out = []
@@ -285,8 +289,31 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _opened(out: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["gram", "doc_id", "packed", "bytes"])
+    cols = list(zip(*out, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _OPENED.split(", ")])
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of buckets as spans of the two buckets that each falls into: windows with few, and with many, bytes before the q-gram.
+
+    A bucket is named by its parent and by the bytes that all its windows have, whatever else a span has.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    for b in batches:
+        out: list[tuple] = []
+        for gram, lo, hi, doc, packed, raw in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+            place, off, n, middle = packed >> 20, packed >> 12 & 255, packed >> 4 & 255, (lo + hi) // 2
+            for low, high in ((lo, middle), (middle + 1, hi)):
+                begin, end = max(0, off - high), min(n - 1, off - low)
+                if begin <= end:
+                    name = xxh3_64_intdigest(b"%d %d %d " % (gram, low, high) + raw[off - low : off - high + LENGTH])
+                    out.append((name - (name >> 63 << 64), low, high, doc, place + begin << 20 | off - begin << 12 | end - begin + 1 << 4, raw[begin : end + LENGTH]))
+            if len(out) >= 20_000:
+                yield _opened(out)
+                out = []
+        yield _opened(out)
 
 
 _DIGESTS = "d1 long, d2 long, doc_id long, start long"
@@ -315,29 +342,34 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     gone = found.filter(F.col("kind") == GONE).select("doc_id", begin.alias("begin"), (begin + F.shiftright("packed", 4).bitwiseAND(255) + LENGTH - 1).alias("end"))
     still = found.filter(F.col("kind") == OPEN).select("doc_id", "packed", "gram")
     lists = scratch.save(still.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "packed")).alias("list")), "open")
-    opened = mapped(with_spans(docs, lists, "inner"), _fetch, _OPENED)
-    hot = scratch.save(still.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"), "hot")
-    if hot.isEmpty():
-        cool, spread = opened, None
+    rows = mapped(with_spans(docs, lists, "inner"), _fetch, _OPENED)
+    hot, cool, turn = _hot(still, scratch, 0), [], 0
+    while not hot.isEmpty():
+        rows, turn = scratch.save(rows, f"opened-{turn}"), turn + 1
+        cool.append(rows.join(sized(hot), "gram", "left_anti"))
+        rows = rows.join(sized(hot), "gram", "left_semi").select(*(x.split()[0] for x in _OPENED.split(", ")))
+        if turn > (LENGTH - Q).bit_length():  # every bucket is one string now
+            break
+        rows = scratch.save(mapped(rows, _halves, _OPENED), f"halves-{turn}")
+        hot = _hot(rows, scratch, turn)
     else:
-        from tidelog.llm.common import sized
-
-        opened = scratch.save(opened, "opened")
-        cool = opened.join(sized(hot), "gram", "left_anti")
-        spread = mapped(opened.join(sized(hot), "gram", "left_semi").select("gram", "doc_id", "packed", "bytes"), _windows, _DIGESTS)
-    met = mapped(cool.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
-    parts = [gone, scratch.save(met, "met")]
-    if spread is not None:
-        spread = scratch.save(spread, "windows")
+        cool.append(rows)
+        rows = None
+    compared = reduce(DataFrame.unionByName, (x.select("gram", "doc_id", "packed", "bytes") for x in cool))
+    met = mapped(compared.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
+    out = gone.unionByName(scratch.save(met, "met"))
+    if rows is not None:
+        spread = scratch.save(mapped(rows, _windows, _DIGESTS), "windows")
         first = spread.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         late = spread.join(first, ["d1", "d2"]).filter(F.struct("doc_id", "start") > F.col("first"))
-        parts.append(late.select("doc_id", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(late.select("doc_id", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
     return out
 
 
+def _hot(rows: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    return scratch.save(rows.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"), f"hot-{turn}")
+
+
 def merge(own: list) -> list[tuple[int, int]]:
     """Spans in order, those that overlap or touch joined."""
     out: list[tuple[int, int]] = []
