@@ -1,36 +1,42 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Texts become tokens in which numbers, names and units are typed: the type is the template, the value a slot. Windows of
-five template tokens are hashed, those of many slots with their values; the benchmark's windows, broadcast where few and
-shuffled where not, meet those of all documents. A document that holds at least `least` of an item's windows is a
-candidate; its slots must then agree, as many as that: an item's value stands for one value throughout, and no other
-value for it. That finds an item whose numbers, names or units were replaced, and leaves accidents alone. Windows of the
-plain words meet as well, and there nothing else is asked: a copy is found however it is cased, spaced or wrapped.
+Texts become tokens in which numbers, names and units are typed: the type is the template, the value a slot; a name of
+several words is one slot. Windows of five template tokens are hashed, those of more than MOST_SLOTS slots with their
+values; the benchmark's windows, broadcast where few and shuffled where not, meet those of all documents. A document that
+holds at least `least` of an item's windows is a candidate; its slots must then agree, as many as that: an item's value
+stands for one value throughout, and no other value for it. That finds an item whose numbers, names or units were
+replaced, and leaves accidents alone. Windows of the plain words meet as well, and there nothing else is asked: a copy is
+found however it is cased, spaced or wrapped.
+
+A document that holds `least` of an item's windows holds one of any few of them that leave less than `least`. Documents
+and items are therefore paired only where they meet in such of the item's windows as the fewest documents hold: a window
+that all items or documents have pairs nothing by itself.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm.common import BROADCAST_ROWS, Scratch, sized
 
 WINDOW = 5
 LEAST = 0.8
-#: Windows with more slots than this say too little without their values.
+#: Windows with more slots than this say too little without their values ("N N N N of"): they are hashed with them.
 MOST_SLOTS = 3
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+NUMBER, NAME, UNIT, JOIN = "\x01", "\x02", "\x03", "\x04"
 _UNITS = "km|cm|mm|kg|mg|ml|kb|mb|gb|tb|mph|kmh|hz|kwh|m|g|l|s|h|km2|m2|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|kilos?|pounds?|ounces?|tons?|tonnes?|litres?|liters?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|heures?|jours?|stunden?|tagen?|horas?|litros?|metros?"
 
 
 def tokens_of(text: Column) -> Column:
     """Lower-case words without punctuation; a slot has its type's control character before its value."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x01-\\x03]", " ")
-    t = F.regexp_replace(t, "[\\s\\u0085\\p{Z}]+", " ")
-    # A capitalised word behind a lower-case one, inside a sentence, is a name.
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\s\\u0085\\p{Z}\\x01-\\x04]+", " ")
+    # A capitalised word behind a lower-case one, inside a sentence, is a name; names side by side are one.
     t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)(?![\\p{L}])", f"{NAME}$1")
+    t = F.regexp_replace(t, f"(?<={NAME}\\p{{L}}{{1,40}}) {NAME}", JOIN)
     t = F.lower(F.regexp_replace(t, "(?<=\\d)[.,:](?=\\d)", ""))
-    t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}\\x02]+", " ")
+    t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}\\x02\\x04]+", " ")
     t = F.regexp_replace(t, "(?<![\\p{L}\\p{N}])(\\p{N}+)", f"{NUMBER}$1")
     t = F.regexp_replace(t, f"({NUMBER}\\p{{N}}+) ?({_UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
     return F.filter(F.split(t, " "), lambda x: x != "")
@@ -46,13 +52,14 @@ def plain(token: Column) -> Column:
 
 
 def hashed(df: DataFrame) -> DataFrame:
-    """df (with tokens) and the hashes of its tokens' templates and of the plain tokens."""
-    return df.withColumn("forms", F.transform("tokens", lambda x: F.xxhash64(template(x)))).withColumn("words", F.transform("tokens", lambda x: F.xxhash64(plain(x))))
+    """df (with tokens) and hashes: of its tokens' templates, of their values, and of the plain words, of which a name may have several."""
+    words = F.flatten(F.transform("tokens", lambda x: F.split(plain(x), JOIN)))
+    return df.select("*", F.transform("tokens", lambda x: F.xxhash64(template(x))).alias("forms"), F.transform("tokens", lambda x: F.xxhash64(plain(x))).alias("values"), F.transform(words, lambda x: F.xxhash64(x)).alias("words"))
 
 
-def _windows(make) -> Column:
-    """make(place) for each five tokens in a row; none where there are fewer."""
-    at = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+def _windows(name: str, make) -> Column:
+    """make(place) for each five of array `name` in a row; none where there are fewer."""
+    at = F.when(F.size(name) >= WINDOW, F.sequence(F.lit(1), F.size(name) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, make)
 
 
@@ -61,58 +68,72 @@ def _hash(name: str, i: Column) -> Column:
 
 
 def _slots(i: Column) -> Column:
-    return sum((F.when(F.element_at("forms", i + k) != F.element_at("words", i + k), 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
+    return sum((F.when(F.element_at("forms", i + k) != F.element_at("values", i + k), 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
 
 
 def plain_windows() -> Column:
-    return _windows(lambda i: _hash("words", i))
+    return _windows("words", lambda i: _hash("words", i))
 
 
 def template_windows() -> Column:
-    """Of templates; with more than MOST_SLOTS slots, of the plain tokens. Without slots, both are the same."""
-    return _windows(lambda i: F.when(_slots(i) > MOST_SLOTS, _hash("words", i)).otherwise(_hash("forms", i)))
+    """Of templates; with more than MOST_SLOTS slots, of the values. Without slots, both are the plain words'."""
+    return _windows("forms", lambda i: F.when(_slots(i) > MOST_SLOTS, _hash("values", i)).otherwise(_hash("forms", i)))
 
 
 def all_windows() -> Column:
-    """The windows of both kinds; those that are the same for both, once."""
-    other = _windows(lambda i: F.when(_slots(i).between(1, MOST_SLOTS), _hash("forms", i)))
+    """The windows of both kinds; those without slots, which are the same for both, once."""
+    other = _windows("forms", lambda i: F.when(_slots(i) > MOST_SLOTS, _hash("values", i)).when(_slots(i) > 0, _hash("forms", i)))
     return F.concat(plain_windows(), F.filter(other, lambda w: w.isNotNull()))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, window, word_window, slots): a place's template and plain windows; slots: values by place, null for words."""
-    own = hashed(benchmark.select(F.col("item_id"), tokens_of(F.col("text")).alias("tokens"))).withColumn("windows", F.arrays_zip(template_windows().alias("window"), plain_windows().alias("word_window")))
-    cut = own.select("item_id", "tokens", F.posexplode("windows").alias("ipos", "w")).select("item_id", "tokens", "ipos", F.col("w.window").alias("window"), F.col("w.word_window").alias("word_window"))
+    """(item_id, ipos, window, slots, form): plain windows and, with form 1, template windows with the values of their slots by place, null for words."""
+    own = hashed(benchmark.select(F.col("item_id"), tokens_of(F.col("text")).alias("tokens")))
     values = F.transform(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: F.when(F.substring(x, 1, 1) <= UNIT, x))
-    return cut.select("item_id", "ipos", "window", "word_window", values.alias("slots"))
+    forms = own.select("item_id", "tokens", F.posexplode(template_windows()).alias("ipos", "window")).select("item_id", "ipos", "window", values.alias("slots"), F.lit(1).alias("form"))
+    words = own.select("item_id", F.posexplode(plain_windows()).alias("ipos", "window"), F.lit(None).cast("array<string>").alias("slots"), F.lit(0).alias("form"))
+    return forms.unionByName(words)
+
+
+def probes(both: DataFrame, sizes: DataFrame, met: DataFrame, least: float) -> DataFrame:
+    """(item_id, window): of each item's windows (both: form, word), those held by the fewest documents, as many as may all be missing, and one more."""
+    held = met.groupBy("window").agg(F.count("*").alias("docs"))
+    rare = both.join(sized(held), "window").join(sized(sizes), "item_id")
+    out = None
+    for kind in ("form", "word"):
+        missing = F.col(f"n_{kind}") - F.col(f"found_{kind}")  # windows that no document holds come first
+        asked = F.floor((1 - least) * F.col(f"n_{kind}") + 1e-9) + 1 - missing
+        counted = rare.filter(F.col(kind) == 1).withColumn(f"found_{kind}", F.count("*").over(Window.partitionBy("item_id")))
+        ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("docs", "window"))).filter(F.col("rank") <= asked).select("item_id", "window")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, containment): one row for each item that a document holds.
 
     containment is the share of the item's distinct windows found in the document, of plain windows or of templates with
-    agreeing slots, whichever is greater. Items of fewer than five tokens, and
-    null or empty texts on either side, match nothing. Rows that repeat a doc_id count as one document. Rows with a
-    null doc_id or item_id take no part. Only doc_id, text and item_id are read.
+    agreeing slots, whichever is greater. Items of fewer than five tokens, and null or empty texts on either side, match
+    nothing. Rows that repeat a doc_id count as one document, and items that share all windows are found each; the
+    greater share of a pair is given, then the one of more windows. Rows with a null doc_id or item_id take no part.
+    Texts are read whole; a very long one is a row of many windows. Only doc_id, text and item_id are read. Stages are
+    run, and their tables stored, before this returns.
     """
     scratch = Scratch(docs.sparkSession)
     items = scratch.save(item_windows(benchmark.filter(F.col("item_id").isNotNull())), "items")
-    forms = items.select("item_id", "window", F.lit(1).alias("form"), F.lit(0).alias("word"))
-    both = forms.unionByName(items.select("item_id", F.col("word_window").alias("window"), F.lit(0).alias("form"), F.lit(1).alias("word")))
-    both = scratch.save(both.groupBy("item_id", "window").agg(F.max("form").alias("form"), F.max("word").alias("word")), "windows")
-    sizes = both.groupBy("item_id").agg(F.sum("form").alias("n_form"), F.sum("word").alias("n_word"))
+    both = scratch.save(items.groupBy("item_id", "window").agg(F.max("form").alias("form"), F.max(1 - F.col("form")).alias("word")), "windows")
+    sizes = scratch.save(both.groupBy("item_id").agg(F.sum("form").alias("n_form"), F.sum("word").alias("n_word")), "sizes")
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = hashed(known.select("doc_id", tokens_of(F.col("text")).alias("tokens"))).select("doc_id", "forms", "words")
-    spread = hashes.select("doc_id", F.explode(all_windows()).alias("window"))
-    met = spread.join(sized(both.select("window").distinct()), "window", "left_semi").groupBy("doc_id", "window").agg(F.count("*").alias("n"))
-    met = scratch.save(met, "met")
-    pairs = met.join(sized(both), "window").groupBy("doc_id", "item_id").agg(F.sum("form").alias("form"), F.sum("word").alias("word"))
-    pairs = pairs.join(sized(sizes), "item_id")
-    close = scratch.save(pairs.filter((F.col("form") >= least * F.col("n_form")) | (F.col("word") >= least * F.col("n_word"))), "close")
+    spread = hashed(known.select("doc_id", tokens_of(F.col("text")).alias("tokens"))).select("doc_id", F.explode(all_windows()).alias("window"))
+    met = scratch.save(spread.join(sized(both.select("window").distinct()), "window", "left_semi").distinct(), "met")
+    pairs = scratch.save(met.join(sized(probes(both, sizes, met, least)), "window").select("doc_id", "item_id").distinct(), "pairs")
+    counted = pairs.join(sized(both), "item_id").join(met, ["doc_id", "window"]).groupBy("doc_id", "item_id").agg(F.sum("form").alias("form"), F.sum("word").alias("word"))
+    counted = counted.join(sized(sizes), "item_id")
+    close = scratch.save(counted.filter((F.col("form") >= least * F.col("n_form")) | (F.col("word") >= least * F.col("n_word"))), "close")
     out = lambda x: x.select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"))
     as_words = close.select("doc_id", "item_id", F.col("n_word").alias("n_windows"), F.col("word").alias("n_found"))
     as_forms = close.select("doc_id", "item_id", F.col("n_form").alias("n_windows"), F.col("form").alias("n_found"))
-    slotted = items.filter(F.exists("slots", lambda x: x.isNotNull())).select("item_id", "ipos", "window", "slots")
+    slotted = items.filter((F.col("form") == 1) & F.exists("slots", lambda x: x.isNotNull())).select("item_id", "ipos", "window", "slots")
     if slotted.isEmpty():
         return out(as_words)
     asked = close.filter(F.col("form") >= least * F.col("n_form"))
@@ -131,11 +152,11 @@ def inconsistent(known: DataFrame, close: DataFrame, slotted: DataFrame, scratch
     with_slots = close.join(sized(slotted.select("item_id").distinct()), "item_id", "left_semi").select("doc_id", "item_id")
     ids = with_slots.select("doc_id").distinct()
     held = known.join(sized(ids), "doc_id", "left_semi").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
-    held = hashed(held).withColumn("windows", template_windows())
+    held = hashed(held).select("doc_id", "tokens", template_windows().alias("windows"))
     marks = F.transform("tokens", lambda x: F.when(F.substring(x, 1, 1) <= UNIT, x))
     placed = F.transform("windows", lambda w, i: F.struct(i.alias("pos"), w.alias("window"), F.lit(None).cast("string").alias("none")))
     cut = held.withColumn("marks", marks).select("doc_id", "marks", F.explode(placed).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"), F.slice("marks", F.col("w.pos") + 1, WINDOW).alias("values"))
-    met = cut.join(sized(slotted), "window").join(with_slots, ["doc_id", "item_id"], "left_semi")
+    met = with_slots.join(sized(slotted), "item_id").join(cut, ["doc_id", "window"])
     each = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), F.explode(F.arrays_zip("slots", "values")).alias("s")).filter("s.slots is not null and s.values is not null")
     each = each.select("doc_id", "item_id", "shift", F.col("s.slots").alias("theirs"), F.col("s.values").alias("ours")).distinct()
     key = ["doc_id", "item_id", "shift"]
