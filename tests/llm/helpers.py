@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import defaultdict
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,15 @@ def linked(keys: list, near) -> list[int]:
     return [find(i) for i in range(len(keys))]
 
 
+def similar(texts: list) -> list[int]:
+    """The first text of each one's group: groups are what a Jaccard similarity of 0.8 of five-word shingles joins, all pairs compared."""
+    def shingles(t):
+        own = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        return frozenset(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else frozenset()
+
+    return linked([shingles(t) for t in texts], lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0)
+
+
 def covered(rows: list[tuple], length: int = 100) -> dict:
     """(doc_id, text) rows with unique ids to op8's columns by id, from every string of `length` bytes."""
     seen: set[bytes] = set()
@@ -128,3 +138,65 @@ def pieces(text: str | None, tokenizer, capacity: int) -> list[tuple]:
         own = ids[start : start + capacity]
         out.append((k, start, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))))
     return out
+
+
+def template_tokens(text: str | None) -> list[str]:
+    """Decontamination's tokens of a text, step by step."""
+    import regex
+
+    from tidelog.llm.decontam import _UNITS
+
+    t = regex.sub(r"[ \t\n\x0b\f\r\x85\p{Z}\x01-\x04]+", " ", text or "")
+    t = regex.sub(r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?!\p{L})", "\x02\\1", t)
+    t = regex.sub("(?<=\x02\\p{L}{1,40}) \x02", "\x04", t)
+    t = regex.sub(r"(?<=[0-9])[.,:](?=[0-9])", "", t).lower()
+    t = regex.sub(r"[^\p{L}\p{N}\p{M}\x02\x04]+", " ", t)
+    t = regex.sub(r"(?<![\p{L}\p{N}])(\p{N}+)", "\x01\\1", t)
+    t = regex.sub("(\x01\\p{N}+) ?(" + _UNITS + ")(?![\\p{L}\\p{N}])", "\\1 \x03\\2", t)
+    return [x for x in t.split(" ") if x]
+
+
+def leaks(docs: list[tuple], items: list[tuple], least: float = 0.8) -> dict:
+    """(doc_id, text) and (item_id, text) to {(doc_id, item_id): (n_windows, n_found)}, every document against every item."""
+    five = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+    slot = lambda x: x[0] <= "\x03"
+
+    def views(text):
+        tokens = template_tokens(text)
+        values = [x[1:] if slot(x) else x for x in tokens]
+        words = [w for v in values for w in v.split("\x04")]
+        forms = [v if sum(a != b for a, b in zip(f, v, strict=True)) > 3 else f for f, v in zip(five([x[0] if slot(x) else x for x in tokens]), five(values), strict=True)]
+        return tokens, forms, five(words)
+
+    def fits(doc, item) -> bool:
+        at = defaultdict(list)
+        for i, w in enumerate(doc[1]):
+            at[w].append(i)
+        pairs = defaultdict(set)
+        for k, w in enumerate(item[1]):
+            for i in at[w]:
+                pairs[i - k] |= {(b, a) for a, b in zip(doc[0][i : i + 5], item[0][k : k + 5], strict=True) if slot(a) and slot(b)}
+        judged = []
+        for own in pairs.values():
+            theirs, ours = defaultdict(set), defaultdict(set)
+            for b, a in own:
+                theirs[b].add(a)
+                ours[a].add(b)
+            if theirs:
+                judged.append((len(theirs), sum(len(x) == 1 and len(ours[min(x)]) == 1 for x in theirs.values())))
+        best = max((m for m, _ in judged), default=0)
+        return not judged or any(agreed >= least * m for m, agreed in judged if 2 * m >= best)
+
+    held = [(i, views(t)) for i, t in docs]
+    out = {}
+    for k, t in items:
+        item = views(t)
+        for i, doc in held:
+            found = []
+            for kind in (1, 2):
+                n, share = len(set(item[kind])), len(set(item[kind]) & {*doc[1], *doc[2]})
+                if n and share >= least * n and (kind == 2 or fits(doc, item)):
+                    found.append((share / n, n, share))
+            if found:
+                out[i, k] = max(found)[1:]
+    return out

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 from conftest import SF
-from helpers import SMALL, covered, exact_groups, linked, pieces, simhash
+from helpers import SMALL, covered, exact_groups, leaks, linked, pieces, simhash
 
 from tidelog.llm import queries as llm
 
@@ -88,6 +88,13 @@ def test_op8_equals_all_strings(spark, rows):
     assert by_id(llm.op8_suffix_array_dedup(spark, SMALL), "n_bytes", "n_removed", "n_spans", "kept_sha256") == covered(rows)
 
 
+def test_op10_equals_every_document_against_every_item(spark, rows):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"]) for r in llm.op10_benchmark_decontamination(spark, SMALL).collect()}
+    assert found
+    assert found == leaks(rows, items)
+
+
 def test_op10_finds_items_and_nothing_else(spark):
     """Documents that hold all of an item's words in order, and only those that share most of an item."""
     import re

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import pytest
-from helpers import SMALL, awkward, corpus, covered, docs_of, empty, exact_groups, linked, simhash
+from helpers import SMALL, awkward, corpus, covered, docs_of, empty, exact_groups, leaks, linked, similar, simhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, exact_dedup, langid, line_dedup, packing, pii, simhash as sim, substring_dedup, suffix_dedup, token_counts
+from tidelog.llm import decontam, exact_dedup, langid, line_dedup, near_dedup, packing, pii, simhash as sim, substring_dedup, suffix_dedup, token_counts
 
 
 def model(name):
@@ -25,7 +26,7 @@ OPERATORS = {
     "exact_dedup": exact_dedup.exact_dedup,
     "drop_copies": exact_dedup.drop_copies,
     "simhash_groups": sim.simhash_groups,
-    "one_of_each": sim.one_of_each,
+    "one_of_each": near_dedup.one_of_each,
     "identify": langid.identify,
     "keep_known": langid.keep_known,
     "substring_dedup": substring_dedup.substring_dedup,
@@ -67,7 +68,7 @@ def test_filters_on_awkward_rows(spark):
     assert kept == Counter([2, 3, 4, 6, 7, 8, 9, None])
     known = Counter(r["doc_id"] for r in langid.keep_known(docs).collect())
     assert known == Counter(r["doc_id"] for r in docs.filter(F.col("text").rlike("\\p{L}")).collect())
-    near = Counter(r["doc_id"] for r in sim.one_of_each(docs).collect())
+    near = Counter(r["doc_id"] for r in near_dedup.one_of_each(docs).collect())
     assert near[4] == 1 and near[5] == 0 and near[6] == 1 and near[None] == 4
     docs.unpersist()
 
@@ -147,16 +148,43 @@ def test_exact_dedup_of_a_corpus(spark, seed):
     assert kept == sorted(i for i, v in out.items() if v[2])
 
 
-def test_directory_splits_until_buckets_hold():
+@pytest.mark.parametrize("low", [0, 2])
+def test_directory_doubles_until_buckets_hold(spark, low):
     cells = {c: 10 for c in range(16)} | {7: 1000}
-    found = exact_dedup.split_directory(cells, 40, 4)
+    found = [tuple(r) for r in exact_dedup.directory(spark.createDataFrame(list(cells.items()), "cell long, n long"), low, 4, 40).collect()]
     assert sorted(c for c, _, _ in found) == sorted(cells)
     for bucket, depth in {(b, d) for _, b, d in found}:
         own = [c for c, b, _ in found if b == bucket]
         assert depth == 4 or sum(cells[c] for c in own) <= 40
+        assert depth == low or sum(n for c, n in cells.items() if c >> (5 - depth) == bucket >> (5 - depth)) > 40  # its parent was overfull
         assert {c >> (4 - depth) for c in own} == {bucket >> (4 - depth)}
 
 
+def test_owners_answer_without_a_shuffle(spark):
+    """Chains are made and rows are answered from the index's pages, without an exchange."""
+    from tidelog.llm.common import Scratch
+
+    docs, scratch = docs_of(spark, corpus(5, 200)), Scratch(spark)
+    index = exact_dedup.build_index(docs, scratch, 8)
+    for df in (exact_dedup.chained(index), exact_dedup.answered(index, scratch)):
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert index.groupBy("bucket").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0] <= 8
+
+
+def test_exact_dedup_of_a_hot_text_over_many_pages(spark):
+    texts = ["hot text", "hot  text"] * 150 + [f"cold {i}" for i in range(20)]
+    out = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs_of(spark, texts), capacity=4).collect()}
+    assert out == exact_groups(list(enumerate(texts)))
+
+
+def test_exact_dedup_of_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LOT", 3)
+    rows = [(1, "a b"), *[(2, "a  b")] * 10]
+    out = sorted(map(tuple, exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert out == sorted([(1, 2, 11, False), (2, 2, 11, True), *[(2, 2, 11, False)] * 9])
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_simhash_links_of_a_corpus(spark, seed):
     texts = [None, "", *corpus(seed, 250)]
@@ -185,15 +213,44 @@ def test_simhash_tiles_lose_no_link(spark, monkeypatch):
     assert {i: found.get(i, i) for i in range(len(prints))} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bit_planes_of_buckets_of_every_size(seed):
+    """Small and large buckets side by side in the planes: what the forest joins is what all pairs join."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(seed)
+    sizes = [r.choice([2, 2, 3, 5, 12, 13, 63, 64, 65, 130]) for _ in range(40)]
+    prints = []
+    for n in sizes:
+        base = r.getrandbits(64)
+        prints += [[(base ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 3)))) % (1 << 64), r.getrandbits(3)] for _ in range(n)]
+    both = np.array(prints, np.uint64)
+    for own, radius, wide in ((both[:, :1], 2, 0), (both, 4, 5)):
+        a, b = sim.forest(own, np.array(sizes), radius, wide)
+        root, begin = [], 0
+        for n in sizes:
+            apart = lambda x, y: [int(p ^ q).bit_count() for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+            near = lambda x, y: (d := apart(x, y))[0] <= radius and (len(d) == 1 or sum(d) <= wide)  # noqa: E731, B023
+            root += [begin + k for k in linked(list(own[begin : begin + n]), near)]
+            begin += n
+        found = linked(list(range(len(own))), lambda i, j, links=frozenset(zip(a.tolist(), b.tolist(), strict=True)): (i, j) in links or (j, i) in links)
+        assert found == root
+        assert len(a) <= len(own)
+
+
 def test_suffix_dedup_of_a_corpus(spark):
     texts = [None, "", *corpus(6, 200), "z" * 450, "ab" * 200, "short", "z" * 99]
     out = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs_of(spark, texts)).collect()}
     assert out == covered(list(enumerate(texts)))
 
 
-def test_suffix_dedup_of_hot_strings(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 20)
-    texts = corpus(7, 120)
+@pytest.mark.parametrize("hot", [1, 20])
+def test_suffix_dedup_of_hot_strings(spark, monkeypatch, hot):
+    """Buckets of many spans are refined until they hold few, or are one string."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    texts = [*corpus(7, 120), "z" * 450, "ab" * 200, *["q" * 130 + str(i) for i in range(30)]]
     out = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs_of(spark, texts)).collect()}
     assert out == covered(list(enumerate(texts)))
 
@@ -242,6 +299,58 @@ def test_substring_dedup_reaches_far(spark, monkeypatch):
     assert out[1]["n_removed"] >= 1200
 
 
+def edited(r, own: list[str], n: int, vocabulary: list[str]) -> list[str]:
+    """own with n words changed, put in or taken out."""
+    x = list(own)
+    for _ in range(n):
+        at = r.randrange(len(x))
+        x[at : at + r.choice([0, 1, 1])] = [r.choice(vocabulary)] * r.choice([0, 1, 1])
+    return x
+
+
+def test_near_groups_equal_all_pairs(spark):
+    """Groups equal those of all pairs, but for few that the fingerprints miss; none is joined under the similarity."""
+    import random
+
+    r = random.Random(13)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    texts = []
+    for _ in range(120):
+        own = [r.choice(vocabulary) for _ in range(r.choice([6, 9, 20, 60, 200, 500]))]
+        texts += [" ".join(own), " ".join(edited(r, own, max(1, len(own) * r.choice([1, 2, 3, 6]) // 100), vocabulary))]
+    texts += [None, "", " \t", "one two", "One  two", "x " * 2000, "x " * 2000 + "y"]
+    want = similar(texts)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(docs_of(spark, texts)).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing under the similarity
+    inside = [i for i, w in enumerate(want) if i != w]
+    assert len(inside) >= 50
+    assert sum(got.get(i) == want[i] for i in inside) >= 0.97 * len(inside)
+
+
+def test_near_groups_of_one_large_family(spark, monkeypatch):
+    """Many near copies of one text, dealt out as tiles, are one group; a family whose members are less alike isn't."""
+    import random
+
+    r = random.Random(14)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    base, other = ([r.choice(vocabulary) for _ in range(200)] for _ in range(2))
+    texts = [" ".join(base), *(" ".join(edited(r, base, 2, vocabulary)) for _ in range(150)), *(" ".join(edited(r, other, 14, vocabulary)) for _ in range(60))]
+    want = similar(texts)
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 20)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(docs_of(spark, texts)).collect()}
+    assert sum(got.get(i) == 0 for i in range(151)) >= 150
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_bucket_bits_grow_slowly():
+    for n in (10, 10**6, 10**8, 10**10):
+        own = near_dedup.bucket_bits(n)
+        bits = len(own[0])
+        assert n / 2**bits <= near_dedup.FULL
+        assert (1 - (1 - near_dedup.APART / 192) ** bits) ** len(own) <= near_dedup.MISSED
+    assert len(near_dedup.bucket_bits(10**10)) <= 400
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string, line string, pages string, drop string")
 
@@ -371,9 +480,50 @@ def test_decontamination_whatever_the_case_and_spacing(spark):
     short = "Copper conducts heat better than iron"
     words = "bread milk eggs rice beans flour salt sugar corn wine meat fish".split()
     many = lambda values: " then ".join(f"they paid {v} for the {w}" for v, w in zip(values, words, strict=True))
-    texts = [item.replace(" ", "\n"), item.replace(" ", "  "), item.lower(), item.upper(), f"we know that {short}", many([*range(31, 42), 41]), many([31] * 12)]
+    texts = [item.replace("Boston", "New York").replace("Chicago", "San Jose"), item.title(), item.replace(" ", "\n"), item.replace(" ", "  "), item.lower(), item.upper(), f"we know that {short}", many([*range(31, 42), 41]), many([31] * 12)]
     out = _found(spark, [item, short, many(range(11, 23))], texts)
-    assert set(out) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 2)}
+    assert set(out) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 1), (7, 2)}
+
+
+def test_decontamination_equals_every_pair(spark):
+    """Made-up items and documents with copies, other values, other names of one word or two, and half copies."""
+    import random
+
+    r = random.Random(31)
+    common = "the of and a to in is was for on with as by at from that this they were".split()
+    names = ["Boston", "Denver", "New York", "San Jose", "Paris", "Los Angeles"]
+    word = lambda: r.choice([*common, *(f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(3))])
+    blank = lambda: r.choice([word, word, word, lambda: "{n}", lambda: "{c}", lambda: "{n} km"])()
+    fill = lambda t: re.sub(r"\{(n|c)\}", lambda m: str(r.randint(2, 99)) if m[1] == "n" else f"near {r.choice(names)}", t)
+    forms = [" ".join(["is", *(blank() for _ in range(r.randint(4, 25)))]) for _ in range(25)] + ["{n} {n} {n} {n} {n} {n} {n}", "for {n} and {n} or {n} {n} {n} by {n}"]
+    items = [(i, fill(f)) for i, f in enumerate(forms)] + [(90, None), (91, ""), (92, "too short")]
+    texts = [None, ""]
+    for i, f in enumerate(forms):
+        own = items[i][1]
+        half = own.split(" ")
+        texts += [f"{word()} {own} {word()}", f"{word()} {fill(f)} {word()}", own.upper(), own.replace(" ", "\n"), " ".join(half[: len(half) // 2]), " ".join(word() for _ in range(30)), f"{own} {fill(f)}"]
+    want = leaks(list(enumerate(texts)), items)
+    assert _found(spark, [t for _, t in items[:27]], texts) == want
+    assert len(want) > 80
+
+
+def test_decontamination_of_a_window_that_all_share(spark):
+    """Items and documents that have windows in common aren't paired by these alone."""
+    from tidelog.llm.common import Scratch
+
+    shared = "please read the text and answer the question below in one word"
+    rare = [" ".join(f"{chr(97 + i)}{chr(97 + j)}{k}x" for k in range(12)) for i in range(6) for j in range(5)]
+    bench = spark.createDataFrame([(i, f"{shared} {t}") for i, t in enumerate(rare)], "item_id long, text string")
+    docs = docs_of(spark, [f"{shared} {' '.join(f'z{i}q{k}' for k in range(9))}" for i in range(40)] + [f"{shared} {rare[3]}"])
+    out = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert out == {(40, 3)}
+    scratch = Scratch(spark)
+    items = decontam.item_windows(bench)
+    both = items.groupBy("item_id", "window").agg(F.max("form").alias("form"), F.max(1 - F.col("form")).alias("word"))
+    sizes = both.groupBy("item_id").agg(F.sum("form").alias("n_form"), F.sum("word").alias("n_word"))
+    hashes = decontam.hashed(docs.select("doc_id", decontam.tokens_of(F.col("text")).alias("tokens"))).select("doc_id", F.explode(decontam.all_windows()).alias("window"))
+    met = scratch.save(hashes.join(both.select("window").distinct(), "window", "left_semi").distinct(), "met")
+    assert met.join(decontam.probes(both, sizes, met, 0.8), "window").select("doc_id", "item_id").distinct().count() == 1
 
 
 def test_langid_learns_only_from_its_folds(spark):
