@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import io
 import random
 import threading
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -104,6 +106,22 @@ def test_torn_records():
         codec.pack_record("a", "12345", most=4)
 
 
+def test_records_are_read_one_by_one():
+    """However long a file is; a length beyond its end isn't believed."""
+    one = codec.pack_record("key", "v" * 1000)
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    file = Counted(one * 3000 + b"\x01\xff\xff\xff\xffab")
+    assert sum(1 for _ in codec.read_records(file, len(file.getvalue()))) == 3000
+    assert file.most == 1000
+
+
 def test_wire_frames(spark):
     ops = spark.createDataFrame([(0, "get", "a", None), (1, "set", "a", "1"), (2, "delete", "a", None)], "seq long, op string, key string, value string")
     assert [r[0] for r in ops.orderBy("seq").select(F.hex(codec.encode_request())).collect()] == ["010000000161", "0200000001610000000131", "030000000161"]
@@ -209,6 +227,9 @@ def test_bloom_has_no_false_negative(spark):
     assert bloom.maybe_contains(sizes, bits, there).filter("not maybe").count() == 0
     absent = there.withColumn("key", F.concat("key", F.lit("-")))
     assert bloom.maybe_contains(sizes, bits, absent).filter("maybe").count() <= 3
+    thrice = absent.unionByName(absent).unionByName(absent)
+    assert bloom.maybe_contains(sizes, bits, thrice).filter("maybe").count() <= 9
+    assert bloom.maybe_contains(sizes, bits, thrice).count() == 3 * absent.count()
 
 
 def test_configuration(monkeypatch):
@@ -286,6 +307,55 @@ def test_a_batch_counts_once(spark, tmp_path):
     assert pairs(resolve.live(Store(spark, str(tmp_path / "db")).writes())) == [("a", "2")]
 
 
+def test_late_rows_lose(spark, tmp_path):
+    """A stream's own seq decides, whatever the order of its batches, before and after flushes and compaction."""
+    r, rows = random.Random(3), [(i, f"k{i % 9}", None if i % 11 == 0 else str(i)) for i in range(120)]
+    model = {k: v for _, k, v in rows}
+    r.shuffle(rows)
+    store = Store(spark, str(tmp_path / "db"), Config(capacity=4))
+    for n, a in enumerate(range(0, 120, 30)):
+        store.append(spark.createDataFrame([(i, k, v, v is None) for i, k, v in rows[a : a + 30]], LOG), "s", n)
+    live = {k: v for k, v in model.items() if v is not None}
+    assert dict(pairs(resolve.live(store.writes()))) == live
+    assert store.compact(3) == 3
+    assert dict(pairs(resolve.live(Store(spark, str(tmp_path / "db")).writes()))) == live
+    engine = Engine(spark, str(tmp_path / "db"), Config(capacity=4))
+    engine.set("k1", "newest")
+    assert engine.get("k1") == "newest" and engine.get("k2") == live.get("k2")
+
+
+def test_a_store_of_many_segments_has_small_plans(spark, tmp_path):
+    """Neither manifest nor plan grows with the segments, and a get reads the runs that may hold its key."""
+    store = Store(spark, str(tmp_path / "db"), Config(capacity=2))
+    for k, letter in enumerate("abc"):
+        store.append(spark.createDataFrame([(i, f"{letter}{i:04d}", "v", False) for i in range(400)], LOG), "s", k)
+    assert store.manifest["next_id"] == 601 and len(store.manifest["runs"]) == 3
+    assert len(store.entries()._jdf.queryExecution().optimizedPlan().toString().split("\n")) < 8
+    assert store.entries().select("segment_id").distinct().count() == 600
+    read = lambda df: {f.split("/run-")[1][:32] for f in df.inputFiles()}
+    assert len(read(store.entries())) == 3 and len(read(store.entries("b0007"))) == 1
+    assert not store.entries("d").inputFiles()
+    assert [r["value"] for r in resolve.live(store.writes("c0399")).collect()] == ["v"]
+    assert store.compact(250) == 250 and len(store.manifest["runs"]) == 2
+    assert resolve.live(store.writes()).count() == 1200
+    long = "x" * 200
+    store.append(spark.createDataFrame([(i, k, "1", False) for i, k in enumerate([long, f"{long}y"])], LOG))
+    assert [r["value"] for r in resolve.live(store.writes(f"{long}y")).collect()] == ["1"]
+
+
+def test_ranges_hold_as_many_rows_each(spark):
+    """However numbers are spread."""
+    from tidelog.functions.ranges import quantiles, range_of
+
+    rows = [*range(1000), 1 << 61, -(1 << 61)]
+    df = spark.createDataFrame([(x,) for x in rows], "seq long")
+    for n in (1, 2, 7, 256):
+        bounds = quantiles(df, "seq", n)
+        out = {r["seq"]: r["b"] for r in df.select("seq", range_of(F.col("seq"), bounds).alias("b")).collect()}
+        assert out == {x: sum(b <= x for b in bounds) for x in rows}
+        assert max(list(out.values()).count(b) for b in set(out.values())) <= 2 * len(rows) / n + 1
+
+
 def test_scripts(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"), Config(capacity=2))
     lines = ["set A 1", "set b 2", "get a", "get zz", "list", "segment-list", "segment-inspect segment-1.dat", "nonsense", "exit", "set c 3"]
@@ -318,6 +388,24 @@ def test_wire(spark, tmp_path):
     assert client.get("k") == "v"
     client.delete("k")
     assert client.get("k") is None
+    with pytest.raises(TidelogError, match="failed"):
+        server.engine.get = lambda key: 1 // 0
+        client.get("k")
+    del server.engine.get
+    client.set("k", "w")  # the connection goes on
+    held = threading.Event()
+    with server.lock:  # a write that takes long: gets don't wait
+        reader = threading.Thread(target=lambda: held.set() if client.get("k") == "w" else None)
+        reader.start()
+        assert held.wait(60)
+    server.engine.store.config = Config(capacity=1, compaction_interval_seconds=0)
+    for v in "123":
+        client.set("k", v)
+    for _ in range(120):  # the server compacts on its own
+        if server.engine.store.manifest["base"]:
+            break
+        time.sleep(0.5)
+    assert server.engine.store.manifest["base"] and client.get("k") == "3"
     client.close()
     server.shutdown()
     server.server_close()
@@ -332,7 +420,7 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("state").collect()), key=str) == sorted(map(tuple, resolve.newest(log).collect()), key=str)
     engine = Engine(spark, str(tmp_path / "db"), Config(capacity=3))
     ordered = str(tmp_path / "ordered")
-    for a in range(0, 60, 20):
+    for a in (40, 0, 20):  # late files
         log.filter((F.col("seq") >= a) & (F.col("seq") < a + 20)).coalesce(1).write.mode("append").parquet(ordered)
     ingest(read_log_stream(spark, ordered, 1), engine, str(tmp_path / "checkpoint")).awaitTermination()
     assert dict(pairs(engine.state())) == dict(pairs(resolve.live(log)))

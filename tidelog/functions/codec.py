@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,23 +70,31 @@ def pack_record(key: str, value: str | None, most: int = MOST) -> bytes:
 
 def decode_records(data: bytes, strict: bool = False) -> Iterator[tuple[str, str | None, bool, int]]:
     """(key, value, tombstone, offset). A torn or unknown record ends reading, or raises if strict."""
-    at = 0
-    while at < len(data):
-        begin = at
+    return read_records(io.BytesIO(data), len(data), strict)
+
+
+def read_records(file: BinaryIO, size: int, strict: bool = False) -> Iterator[tuple[str, str | None, bool, int]]:
+    """decode_records of a file of so many bytes, a record at a time: its size doesn't matter, and a length beyond its end is not believed."""
+    at = begin = 0
 
-        def text(i: int) -> tuple[str, int]:
-            if i + 4 > len(data) or i + 4 + (n := struct.unpack_from(">I", data, i)[0]) > len(data):
-                raise CorruptRecord(f"the record at byte {begin} ends early")  # noqa: B023
-            return data[i + 4 : i + 4 + n].decode(), i + 4 + n
+    def take(n: int) -> bytes:
+        nonlocal at
+        got = file.read(n) if n <= size - at else b""
+        if len(got) < n:
+            raise CorruptRecord(f"the record at byte {begin} ends early")
+        at += n
+        return got
 
+    def text() -> str:
+        return take(struct.unpack(">I", take(4))[0]).decode()
+
+    while at < size:
+        begin = at
         try:
-            tag = data[at]
+            tag = take(1)[0]
             if tag not in (SET, DELETE):
-                raise CorruptRecord(f"unknown tag {tag} at byte {at}")
-            key, at = text(at + 1)
-            value = None
-            if tag == SET:
-                value, at = text(at)
+                raise CorruptRecord(f"unknown tag {tag} at byte {begin}")
+            key, value = text(), text() if tag == SET else None
         except (CorruptRecord, UnicodeDecodeError) as e:
             if strict:
                 raise e if isinstance(e, CorruptRecord) else CorruptRecord(f"the record at byte {begin} isn't UTF-8") from e

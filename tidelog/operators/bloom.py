@@ -37,8 +37,8 @@ def build(entries: DataFrame, fpr: float = BLOOM_FPR) -> tuple[DataFrame, DataFr
 
 
 def maybe_contains(sizes: DataFrame, set_bits: DataFrame, probes: DataFrame, fpr: float = BLOOM_FPR) -> DataFrame:
-    """probes (segment_id, key) with maybe: false means the segment hasn't the key."""
-    asked = probes.join(sizes, "segment_id").withColumn("at", positions(F.col("key"), F.col("bits"), fpr))
+    """probes (segment_id, key) with maybe: false means the segment hasn't the key. A key that is asked again is looked up once."""
+    asked = probes.select("segment_id", "key").distinct().join(sizes, "segment_id").withColumn("at", positions(F.col("key"), F.col("bits"), fpr))
     spread = asked.select("segment_id", "key", F.size("at").alias("n"), F.explode("at").alias("bit"))
     hits = spread.join(set_bits.withColumn("set", F.lit(1)), ["segment_id", "bit"], "left").groupBy("segment_id", "key").agg(F.first("n").alias("n"), F.count("set").alias("hits"))
     found = hits.select("segment_id", "key", (F.col("hits") >= F.col("n")).alias("maybe"))

@@ -15,9 +15,9 @@ def merge_pair(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "key", "full_outer").select("key", F.coalesce("b", "a").alias("e")).select("key", "e.value", "e.tombstone")
 
 
-def merge_runs(entries: DataFrame, purge: bool = False) -> DataFrame:
-    """(key, value, tombstone) of any number of runs (segment_id, ...), highest segment_id winning: one aggregation, not a chain of joins."""
-    out = newest(entries, by="segment_id")
+def merge_runs(entries: DataFrame, purge: bool = False, by: str = "segment_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, value, tombstone, more) of any number of runs (segment_id, ...), highest segment_id, or other `by`, winning: one aggregation, not a chain of joins."""
+    out = newest(entries, by, more=more)
     return out.filter("not tombstone") if purge else out
 
 

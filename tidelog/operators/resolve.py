@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.functions.ranges import quantiles, range_of
+
 #: Keys of a batch that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Ranges into which a session's seq is cut for as-of reads.
 AS_OF_BUCKETS = 256
 
 
-def newest(log: DataFrame, by: str = "seq", keys: tuple[str, ...] = ("key",)) -> DataFrame:
-    """(keys, value, tombstone) of each key's last write. by must be unique within a key."""
-    last = F.max_by(F.struct("value", "tombstone"), by).alias("last")
-    return log.groupBy(*keys).agg(last).select(*keys, "last.value", "last.tombstone")
+def newest(log: DataFrame, by: str = "seq", keys: tuple[str, ...] = ("key",), more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, value, tombstone, more) of each key's last write. by must be unique within a key."""
+    own = ("value", "tombstone", *more)
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*own), by).alias("last")).select(*keys, *(f"last.{c}" for c in own))
 
 
 def live(log: DataFrame) -> DataFrame:
@@ -58,12 +60,10 @@ def batch_get(log: DataFrame, keys: DataFrame) -> DataFrame:
 def asof_reads(session: DataFrame, buckets: int = AS_OF_BUCKETS) -> DataFrame:
     """(seq, key, outcome, value) of each get, which sees the last write of its key before it.
 
-    A key's requests are cut into at most `buckets` ranges of seq, each resolved on its own: one key may be most of the
-    session. What a range starts from is the last write of the ranges before, a row a key and range.
+    A key's requests are cut into at most `buckets` ranges of seq, of as many requests each, and resolved on their own:
+    one key may be most of the session. What a range starts from is the last write of the ranges before, a row a key and range.
     """
-    low, high = session.agg(F.min("seq"), F.max("seq")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    placed = session.select("seq", "op", "key", "value", F.expr(f"(seq - {low}) div {(high - low) // buckets + 1}").alias("bucket"))
+    placed = session.select("seq", "op", "key", "value", range_of(F.col("seq"), quantiles(session, "seq", buckets)).alias("bucket"))
     is_write, write = F.col("op") != "get", F.struct("op", "value")
     ends = placed.groupBy("key", "bucket").agg(F.max_by(write, F.when(is_write, F.col("seq"))).alias("end"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

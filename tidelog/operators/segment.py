@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions.codec import stride
+from tidelog.functions.ranges import quantiles, range_of
 from tidelog.operators.resolve import newest
 
 
@@ -62,17 +63,13 @@ def memtable_residual(assigned: DataFrame, capacity: int) -> DataFrame:
     return entries.join(closed_segments(assigned, capacity).filter("not closed"), "segment_id", "left_semi").select("key", "value", "tombstone")
 
 
-def bulk_segments(log: DataFrame, capacity: int, buckets: int = 1024) -> DataFrame:
+def bulk_segments(log: DataFrame, capacity: int, buckets: int = 256) -> DataFrame:
     """log with segment_id where keys are unique and all rows are sets: every `capacity` rows in seq order.
 
-    Row numbers come from counts over at most `buckets` equal ranges of seq and ranks within each, so no task sees the
-    whole log.
+    Row numbers come from counts over at most `buckets` ranges of seq, of about as many rows each, and ranks within each,
+    so no task sees the whole log.
     """
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
-    if low is None:
-        return log.withColumn("segment_id", F.lit(1).cast("long"))
-    width = (high - low) // buckets + 1
-    placed = log.withColumn("bucket", F.expr(f"(seq - {low}) div {width}"))
+    placed = log.withColumn("bucket", range_of(F.col("seq"), quantiles(log, "seq", buckets)))
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))  # at most `buckets` rows
     base = counts.withColumn("base", F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).drop("n")
     ranked = placed.join(F.broadcast(base), "bucket").withColumn("row", F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("seq")) - 1)
@@ -88,7 +85,8 @@ def segment_list(entries: DataFrame) -> DataFrame:
     )
 
 
-def write_segments(entries: DataFrame, path: str) -> None:
-    """Key-sorted runs with per-file Bloom filters and min/max on key, one directory a segment."""
-    sorted_ = entries.repartition("segment_id").sortWithinPartitions("segment_id", "key")
-    sorted_.write.mode("append").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").partitionBy("segment_id").parquet(path)
+def write_run(entries: DataFrame, path: str) -> None:
+    """Segments one behind the other in key-sorted files, of which one may hold many, and many one; Bloom filters and min/max on key."""
+    order = ["segment_id", "key"] if "segment_id" in entries.columns else ["key"]
+    sorted_ = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.write.mode("append").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").parquet(path)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.config import BLOOM_FPR
+from tidelog.config import BLOOM_FPR, Config
 from tidelog.functions import codec, commands
+from tidelog.functions.shared import shared_dir
 from tidelog.operators import bloom, compact, index, resolve, segment
+from tidelog.plans.store import Engine
 from tidelog.sources import oplog
 
 CAPACITY, BULK_CAPACITY = 40, 1024
@@ -156,10 +159,12 @@ def bounded_lookup(spark, d):
 
 @_query
 def bloom_probe(spark, d):
-    """Of keys in each bulk segment, and of as many that aren't, how many its filter lets through."""
+    """Of keys in each bulk segment, and of as many that aren't, how many its filter lets through; every third is asked three times."""
     entries = segment.bulk_segments(oplog.bulk_log(spark, d), BULK_CAPACITY)
-    there = entries.select("segment_id", "key", F.lit(True).alias("present"))
-    asked = there.unionByName(entries.select("segment_id", F.concat("key", F.lit("?")).alias("key"), F.lit(False).alias("present")))
+    there = entries.select("segment_id", "key", "seq", F.lit(True).alias("present"))
+    asked = there.unionByName(entries.select("segment_id", F.concat("key", F.lit("?")).alias("key"), "seq", F.lit(False).alias("present")))
+    again = F.explode(F.when(F.col("seq") % 3 == 0, F.array(*map(F.lit, range(3)))).otherwise(F.array(F.lit(0))))
+    asked = asked.select("segment_id", "key", "present", again.alias("turn")).drop("turn")
     found = bloom.maybe_contains(*bloom.build(entries), asked)
     return found.groupBy("segment_id", "present").agg(F.count("*").alias("asked"), F.sum(F.col("maybe").cast("long")).alias("passed"))
 
@@ -248,6 +253,34 @@ def wire_responses(spark, d):
     return answers.select("seq", F.hex(codec.encode_response(F.col("op"), F.col("outcome"), F.col("value"))).alias("frame"))
 
 
+def _store(spark, d, batches: int) -> Engine:
+    """A store in the shared folder that took the events in so many batches, each of rows from all over the log: most come late."""
+    engine = Engine(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Config(capacity=CAPACITY))
+    log = oplog.event_log(spark, d)
+    for k in range(batches):
+        engine.store.append(log.filter(F.col("seq") % batches == batches - 1 - k), "events", k)
+    return engine
+
+
+@_query
+def store_segments(spark, d):
+    """What one batch was cut into, as the store has it."""
+    return _store(spark, d, 1).segments()
+
+
+@_query
+def store_state(spark, d):
+    """Live pairs of three batches, the three oldest segments compacted."""
+    engine = _store(spark, d, 3)
+    engine.compact(2)
+    return engine.state()
+
+
+@_query
+def store_get(spark, d):
+    return _store(spark, d, 2).batch_get(_wanted(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
@@ -305,11 +338,11 @@ o as (select *, case when (ws[1] = 'set' and len(ws) = 3) or (ws[1] = 'get' and
 select seq, line, op, case when op in ('set', 'get', 'delete', 'segment-inspect') then ws[2] end as key, case when op = 'set' then ws[3] end as value from o"""
 _K_HASHES = bloom.hashes()
 _BLOOM = f"""with {_BULK}, sizes as (select segment_id, greatest(ceil(count(*) * {-math.log(BLOOM_FPR) / math.log(2) ** 2!r})::bigint, 8) as bits from bulk group by 1),
-pos as (select b.segment_id, b.key, present, unnest(list_distinct(list_transform(range({_K_HASHES}), lambda i: (('0x' || substr(md5(b.key), 1, 8))::bigint + i * ('0x' || substr(md5(b.key), 9, 8))::bigint) % bits))) as bit
-  from (select segment_id, key, true as present from bulk union all select segment_id, key || '?', false from bulk) b join sizes using (segment_id)),
+pos as (select b.segment_id, b.key, present, case when seq % 3 = 0 then 3 else 1 end as times, unnest(list_distinct(list_transform(range({_K_HASHES}), lambda i: (('0x' || substr(md5(b.key), 1, 8))::bigint + i * ('0x' || substr(md5(b.key), 9, 8))::bigint) % bits))) as bit
+  from (select segment_id, key, seq, true as present from bulk union all select segment_id, key || '?', seq, false from bulk) b join sizes using (segment_id)),
 setb as (select distinct segment_id, bit from pos where present),
-hit as (select p.segment_id, p.key, p.present, count(*) = count(s.bit) as maybe from pos p left join setb s on p.segment_id = s.segment_id and p.bit = s.bit group by all)
-select segment_id, present, count(*) as asked, sum(maybe::int)::bigint as passed from hit group by 1, 2"""
+hit as (select p.segment_id, p.key, p.present, p.times, count(*) = count(s.bit) as maybe from pos p left join setb s on p.segment_id = s.segment_id and p.bit = s.bit group by all)
+select segment_id, present, sum(times)::bigint as asked, sum(maybe::int * times)::bigint as passed from hit group by 1, 2"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -344,6 +377,9 @@ def oracle_sql() -> dict[str, str]:
         "compact_pair": f"{cut}, a as (select * from ent where segment_id = 1), b as (select * from ent where segment_id = 2) select coalesce(b.key, a.key) as key, case when b.key is null then a.value else b.value end as value, case when b.key is null then a.tombstone else b.tombstone end as tombstone from a full join b on a.key = b.key",
         "compact_rounds": f"{cut}, o as (select segment_id from (select distinct segment_id from ent) order by 1 limit 4), top as (select max(segment_id) as t from o) select (select t from top) as segment_id, * from ({merged.format('where segment_id <= (select t from top)')}) union all select segment_id, key, value, tombstone from ent where segment_id > (select t from top)",
         "compact_all": f"{cut} {merged.format('')}",
+        "store_segments": f"{cut} {_LIST.format('ent')}",
+        "store_state": f"with {_LOG}, {_NEW} select key, value from new where not tombstone",
+        "store_get": f"with {_LOG}, {_NEW}, {_WANTED} select w.key, {_THREE} from wanted w left join new n on n.key = w.key",
         "compact_purge": f"{cut} select * from ({merged.format('')}) where not tombstone",
         "parse_client": _CLIENT,
         "parse_repl": _REPL,

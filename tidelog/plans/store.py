@@ -1,7 +1,13 @@
 """A store: an append-only log, key-sorted segments, and a manifest that says which of both count.
 
-A commit writes new files, then a new manifest by an atomic rename, and only then may old files go: a crash at any point
-leaves the store as it was before or after. Manifests are numbered; the highest counts. One writer at a time.
+The segments that a flush makes are one run: files that hold one segment behind another, so that neither paths nor the
+manifest grow with the segments but with the flushes. Compaction makes one base of the oldest segments. Every entry has
+its seq, and the greatest seq of a key decides, wherever it lies: rows that arrive late lose to newer ones. A get reads
+the runs whose range of keys holds the key, by a filter that Parquet's Bloom filters answer.
+
+A commit writes new files, then a new manifest by an atomic rename, and only then may old files go, those of the commit
+before: a crash at any point leaves the store as it was before or after, and a reader that began with the last manifest
+finds its files. Manifests are numbered; the highest counts. One writer at a time.
 """
 
 from __future__ import annotations
@@ -9,8 +15,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +26,21 @@ from tidelog.functions.codec import MOST, too_large
 from tidelog.operators.compact import merge_runs
 from tidelog.operators.index import segment_inspect, sparse_index
 from tidelog.operators.resolve import batch_get, list_keys, live, newest
-from tidelog.operators.segment import assign_segments, closed_segments
+from tidelog.operators.segment import assign_segments, closed_segments, write_run
 from tidelog.operators.segment import segment_list as list_of
 from tidelog.schemas import OP_LOG, REQUEST
 
 _MANIFEST = re.compile(r"^manifest-([0-9]+)\.json$")
-_STATE = "rank bigint, seq bigint, key string, value string, tombstone boolean"
+_ENTRY = "segment_id bigint, seq bigint, key string, value string, tombstone boolean"
+#: Characters of a key that the manifest keeps.
+_KEPT = 64
 
 
 class Files:
     """What the manifest needs of a file system, through Hadoop's: any that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root
+        self.jvm, self.gateway, self.root = spark._jvm, spark.sparkContext._gateway, root
         self.fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._path(root))
 
@@ -50,15 +58,20 @@ class Files:
             stream.close()
 
     def publish(self, name: str, text: str) -> None:
-        """The whole file or none."""
-        aside = self._path(f"{self.root}/.{uuid.uuid4().hex}")
+        """The whole file or none, and none where one is there: a rename that does not overwrite, atomic where the file system's is."""
+        aside, target = self._path(f"{self.root}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
         stream = self.fs.create(aside)
         stream.write(bytearray(text.encode()))
         stream.close()
-        target = self._path(f"{self.root}/{name}")
-        if self.fs.exists(target) or not self.fs.rename(aside, target):
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+        no_options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(aside, target, no_options)
+        except Py4JJavaError as e:
             self.fs.delete(aside, False)
-            raise TidelogError(f"{name} is there already: another writer holds this store")
+            if not self.fs.exists(target):
+                raise
+            raise TidelogError(f"{name} is there already: another writer holds this store") from e
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
@@ -70,51 +83,65 @@ class Store:
         self.files = Files(spark, self.root)
         numbers = [int(m[1]) for n in self.files.names() if (m := _MANIFEST.match(n))]
         self.version = max(numbers, default=0)
-        empty = {"segments": [], "log": [], "next_seq": 0, "next_id": 1}
+        empty = {"base": None, "runs": [], "log": [], "gone": [], "next_seq": 0, "next_id": 1, "batches": {}}
         self.manifest = json.loads(self.files.read(f"manifest-{self.version:08d}.json")) if numbers else empty
 
     def _commit(self, **changed) -> None:
         manifest = self.manifest | changed
+        paths = lambda m: {r["path"] for r in [*m["runs"], *([m["base"]] if m["base"] else [])]} | set(m["log"])
+        due, manifest["gone"] = self.manifest["gone"], sorted(paths(self.manifest) - paths(manifest))
         self.files.publish(f"manifest-{self.version + 1:08d}.json", json.dumps(manifest))
-        old, self.manifest, self.version = self.manifest, manifest, self.version + 1
-        kept = {s["path"] for s in manifest["segments"]} | set(manifest["log"])
-        for path in {s["path"] for s in old["segments"]} | set(old["log"]):
-            if path not in kept:
-                self.files.delete(path)
+        self.manifest, self.version = manifest, self.version + 1
+        for path in due:
+            self.files.delete(path)
         if self.version > 2:
             self.files.delete(f"{self.root}/manifest-{self.version - 2:08d}.json")
 
-    def log(self) -> DataFrame:
-        """The ops behind the last flush, as replayed at open."""
-        paths = self.manifest["log"]
-        return self.spark.read.schema(OP_LOG.replace(" not null", "")).parquet(*paths) if paths else self.spark.createDataFrame([], OP_LOG.replace(" not null", ""))
-
-    def entries(self) -> DataFrame:
-        """(segment_id, key, value, tombstone) of all segments. Each path's id is a literal: nothing is listed or inferred."""
-        parts = [self.spark.read.schema("key string, value string, tombstone boolean").parquet(s["path"]).select(F.lit(s["segment_id"]).cast("long").alias("segment_id"), "key", "value", "tombstone") for s in self.manifest["segments"]]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "segment_id bigint, key string, value string, tombstone boolean")
+    def _read(self, schema: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def writes(self) -> DataFrame:
-        """Everything that may decide a key, with seq as recency: segments by id, below the log."""
-        top = F.lit(-(1 << 62))
-        held = self.entries().select((top + F.col("segment_id")).alias("seq"), "key", "value", "tombstone")
-        return held.unionByName(self.log())
+    def log(self, manifest: dict | None = None) -> DataFrame:
+        """The ops behind the last flush, as replayed at open."""
+        return self._read(OP_LOG.replace(" not null", ""), *(manifest or self.manifest)["log"])
+
+    def entries(self, key: str | None = None, manifest: dict | None = None) -> DataFrame:
+        """(segment_id, seq, key, value, tombstone) of all segments; of a key, from what may hold it. One scan of all runs and one of the base, however many segments there are."""
+        m = manifest or self.manifest
+        holds = lambda r: key is None or r["low"] <= key and (r["high"] is None or key <= r["high"])
+        base = m["base"]
+        after = base["segment_id"] if base else 0
+        out = self._read(_ENTRY, *(r["path"] for r in m["runs"] if holds(r))).filter(F.col("segment_id") > after)
+        if base and holds(base):
+            out = out.unionByName(self._read(_ENTRY.partition(", ")[2], base["path"]).select(F.lit(after).cast("long").alias("segment_id"), "*"))
+        return out if key is None else out.filter(F.col("key") == key)
+
+    def writes(self, key: str | None = None) -> DataFrame:
+        """Everything that may decide a key: (seq, key, value, tombstone) of segments and log."""
+        m = self.manifest  # one, whatever is committed meanwhile
+        log = self.log(m)
+        return self.entries(key, m).select("seq", "key", "value", "tombstone").unionByName(log if key is None else log.filter(F.col("key") == key))
+
+    def _range(self, path: str) -> dict:
+        """A run's least and greatest key, cut to lengths that a manifest can hold; high: null where a cut one would have no successor."""
+        low, high = self.spark.read.schema("key string").parquet(path).agg(F.min("key"), F.max("key")).first()
+        return {"low": (low or "")[:_KEPT], "high": high if high is None or len(high) <= _KEPT else high[:_KEPT] + "\U0010ffff"}
 
     def append(self, ops: DataFrame, source: str | None = None, batch: int = 0) -> None:
-        """ops (seq, key, value, tombstone): seq orders them among themselves; all come behind what is there. Flushes what fills segments.
+        """ops (seq, key, value, tombstone). Flushes what fills segments.
 
-        A batch of a named source that was committed before is not taken again.
+        Without a source, seq orders ops among themselves, and all come behind what is there. A named source's seq is its
+        own and stays: its rows may come late and in any order. A batch of it that was committed before is not taken again.
         """
-        batches = self.manifest.get("batches", {})
+        batches = self.manifest["batches"]
         if source is not None and batches.get(source, -1) >= batch:
             return
-        base = self.manifest["next_seq"]
         path = f"{self.root}/log-{uuid.uuid4().hex}"
         low, high = ops.agg(F.min("seq"), F.max("seq")).first()
         if low is None:
             return
-        ops.select((F.col("seq") - low + base).alias("seq"), "key", "value", "tombstone").write.parquet(path)
-        self._commit(log=[*self.manifest["log"], path], next_seq=base + high - low + 1, batches=batches | ({} if source is None else {source: batch}))
+        shift = self.manifest["next_seq"] - low if source is None else 0
+        ops.select((F.col("seq") + shift).alias("seq"), "key", "value", "tombstone").write.parquet(path)
+        self._commit(log=[*self.manifest["log"], path], next_seq=max(self.manifest["next_seq"], high + shift + 1), batches=batches | ({} if source is None else {source: batch}))
         self.flush()
 
     def flush(self) -> None:
@@ -126,31 +153,32 @@ class Store:
         work = f"{self.root}/cut-{uuid.uuid4().hex}"
         assign_segments(log, capacity).write.parquet(work)
         cut = self.spark.read.parquet(work)
-        ids = sorted((r["segment_id"], r["closed"]) for r in closed_segments(cut, capacity).collect())  # one row a new segment
-        base, made = self.manifest["next_id"] - 1, []
-        closed = [i for i, done in ids if done]
-        if closed:
-            entries = newest(cut.filter(F.col("segment_id") <= closed[-1]), keys=("segment_id", "key"))
-            folder = f"{self.root}/segments-{uuid.uuid4().hex}"
-            from tidelog.operators.segment import write_segments
-
-            write_segments(entries, folder)
-            made = [{"segment_id": base + i, "path": f"{folder}/segment_id={i}"} for i in closed]
-            rest = f"{self.root}/log-{uuid.uuid4().hex}"
-            cut.filter(F.col("segment_id") > closed[-1]).select("seq", "key", "value", "tombstone").write.parquet(rest)
-            self._commit(segments=[*self.manifest["segments"], *made], log=[rest], next_id=base + closed[-1] + 1)
+        # Ids follow one another, and only the last segment may be open.
+        last, done = closed_segments(cut, capacity).agg(F.max("segment_id"), F.max_by("closed", "segment_id")).first()
+        last -= not done
+        if last:
+            base, run, rest = self.manifest["next_id"] - 1, f"{self.root}/run-{uuid.uuid4().hex}", f"{self.root}/log-{uuid.uuid4().hex}"
+            entries = newest(cut.filter(F.col("segment_id") <= last), keys=("segment_id", "key"), more=("seq",))
+            write_run(entries.withColumn("segment_id", F.col("segment_id") + base), run)
+            cut.filter(F.col("segment_id") > last).select("seq", "key", "value", "tombstone").write.parquet(rest)
+            self._commit(runs=[*self.manifest["runs"], {"path": run, "last": base + last} | self._range(run)], log=[rest], next_id=base + last + 1)
         self.files.delete(work)
 
     def compact(self, rounds: int = 1, purge: bool = False) -> int:
-        """Merges the rounds + 1 oldest segments into one, under the newest's id. Tombstones stay unless purge is asked for. How many went."""
-        own = self.manifest["segments"][: rounds + 1]
-        if len(own) < 2:
+        """Merges the rounds + 1 oldest segments into one, under the newest's id. How many went.
+
+        Tombstones stay unless purge is asked for, which is right where no row comes later that is older than they.
+        """
+        base = self.manifest["base"]
+        first, newest_id = base["segment_id"] if base else 1, self.manifest["next_id"] - 1
+        last = min(first + rounds, newest_id)
+        if last <= first:
             return 0
-        last, path = own[-1]["segment_id"], f"{self.root}/segment-{uuid.uuid4().hex}"
-        merged = merge_runs(self.entries().filter(F.col("segment_id") <= last), purge)
-        merged.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
-        self._commit(segments=[{"segment_id": last, "path": path}, *self.manifest["segments"][len(own) :]])
-        return len(own) - 1
+        path = f"{self.root}/base-{uuid.uuid4().hex}"
+        merged = merge_runs(self.entries().filter(F.col("segment_id") <= last), purge, "seq", ("seq",))
+        write_run(merged, path)
+        self._commit(base={"path": path, "segment_id": last} | self._range(path), runs=[r for r in self.manifest["runs"] if r["last"] > last])
+        return last - first
 
 
 class Engine:
@@ -198,8 +226,14 @@ class Engine:
 
     def get(self, key: str) -> str | None:
         self._check()
-        found = live(self.store.writes().filter(F.col("key") == key)).first()
-        return found["value"] if found else None
+        while True:
+            version = self.store.version
+            try:
+                found = live(self.store.writes(key)).first()
+                return found["value"] if found else None
+            except Exception:
+                if version == self.store.version:  # else its files went meanwhile
+                    raise
 
     def require(self, key: str) -> str:
         if (found := self.get(key)) is None:
@@ -222,7 +256,7 @@ class Engine:
 
     def inspect(self, segment_id: int) -> DataFrame:
         """The sparse index of a segment; no rows for one that isn't there."""
-        return segment_inspect(sparse_index(self.store.entries().filter(F.col("segment_id") == segment_id)), segment_id)
+        return segment_inspect(sparse_index(self.store.entries().filter(F.col("segment_id") == segment_id).drop("seq")), segment_id)
 
     def compact(self, rounds: int = 1, purge: bool = False) -> int:
         self._check()

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tidelog.functions.codec import decode_records, pack_record, segment_name
+from tidelog.functions.codec import pack_record, segment_name
+from tidelog.functions.codec import read_records as decode_file
 
 SCHEMA = "segment_id bigint, key string, value string, tombstone boolean, offset bigint"
 _ID = re.compile(r"^segment-([0-9]+)\.dat$")
@@ -54,10 +55,9 @@ class _Reader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         m = _ID.match(os.path.basename(partition.value))
         with open(partition.value, "rb") as f:
-            data = f.read()  # a segment: its size is bounded by the memtable
-        for key, value, gone, offset in decode_records(data, self.strict):
-            if self.key is None or key == self.key:
-                yield int(m[1]) if m else None, key, value, gone, offset
+            for key, value, gone, offset in decode_file(f, os.fstat(f.fileno()).st_size, self.strict):
+                if self.key is None or key == self.key:
+                    yield int(m[1]) if m else None, key, value, gone, offset
 
 
 class _Done(WriterCommitMessage):

@@ -1,4 +1,4 @@
-"""Logs as streams. Order is by seq, not arrival, so late rows are harmless and no watermark is needed; state is a row a key."""
+"""Logs as streams. Order is by seq, not arrival, in memory and in a store, so late rows are harmless and no watermark is needed; state is a row a key."""
 
 from __future__ import annotations
 
@@ -22,7 +22,8 @@ def live_stream(log: DataFrame) -> DataFrame:
 def ingest(log: DataFrame, engine: Engine, checkpoint: str) -> StreamingQuery:
     """Appends each micro-batch to a store, which flushes as it fills; one compaction step a batch where it is due.
 
-    The manifest holds the last batch of each checkpoint, so one that is run again after a failure counts once.
+    The manifest holds the last batch of each checkpoint, so one that is run again after a failure counts once. The log's
+    own seq decides, whatever the order in which rows and files arrive.
     """
     import time
 
