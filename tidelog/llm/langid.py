@@ -1,9 +1,13 @@
 """Language identification by prediction by partial matching (PPM, escape method C).
 
 Each language has a byte context tree of orders 0 to ORDER with frozen counts. A text's exact code length under each
-tree, in bits, decides: the shortest wins. Trees are fitted on the driver from a bounded sample of labelled documents
-(PER_LANG documents a language, none over MOST_BYTES), merged into tables of (context + symbol) -> bits for every
-language, and broadcast; all documents are scored whole, in Arrow batches, without a shuffle.
+tree, in bits, decides: the shortest wins. Trees are fitted on the driver from a bounded sample of labelled documents,
+merged into tables of (context + symbol) -> bits for every language, and broadcast; all documents are scored whole, in
+Arrow batches, without a shuffle.
+
+The sample: of the MOST_LANGS languages with the most documents, up to PER_LANG documents each, none over MOST_BYTES,
+and SAMPLE_BYTES divided by the square of the number of languages. The model holds a number for each gram and language,
+so that bounds the driver's memory whatever labels there are.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import Scratch, by_bytes, joined, mapped, texts
+from tidelog.llm.common import by_bytes, joined, mapped, texts
 
 ORDER = 3
 PER_LANG = 400
 MOST_BYTES = 65_536
-SALTS = 16
+MOST_LANGS, SAMPLE_BYTES = 128, 64 << 20
 FOLDS = 5
+#: Bits of a byte without any model.
+NO_MODEL = 8.0
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -116,8 +122,8 @@ class Model:
             return out
         data, starts, ends = joined(docs, ORDER)
         data = _LOWER[data]
-        for a in range(0, len(data), 1 << 20):  # bounded arrays, however long a text is
-            b = min(len(data), a + (1 << 20))
+        for a in range(0, len(data), 1 << 18):  # bounded arrays, however long a text is
+            b = min(len(data), a + (1 << 18))
             x = data[max(0, a - ORDER) : b]
             cost = self._bits(x)[a - max(0, a - ORDER) :]
             first, last = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b)
@@ -153,48 +159,54 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES, sample_bytes: int = SAMPLE_BYTES, most_langs: int = MOST_LANGS) -> Model:
     """From labelled documents outside the held-out fold: per language, those with the smallest hashed ids."""
-    keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= most_bytes)).select("doc_id", "lang")
-    # Each task passes on at most per_lang a language; those meet in SALTS tasks a language, and what they pass on in one.
-    few = keys.withColumn("order", F.xxhash64("doc_id")).withColumn("salt", F.pmod("order", F.lit(SALTS)))
-    for by in (("lang", "salt"), ("lang",)):
-        few = few.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("order", "doc_id"))).filter(F.col("k") <= per_lang)
-    few = few.select("doc_id", F.col("lang").alias("label")).distinct()
-    held = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").filter((F.col("lang") == F.col("label")) & (F.octet_length("text") <= most_bytes))
-    rows = held.groupBy("label", "doc_id").agg(F.min("text").alias("text")).collect()  # at most per_lang x most_bytes a language, however often a row repeats
+    size = F.octet_length("text").cast("long")
+    keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (size <= most_bytes)).select("doc_id", F.col("lang").alias("label"), F.xxhash64("doc_id").alias("order"), size.alias("size"))
+    counted = keys.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_langs).collect()  # at most most_langs rows
+    if not counted:
+        return Model({})
+    # A hashed id below a language's limit is one of about four times as many as are wanted: only those are sorted.
+    limits = [(r["label"], int(min(1.0, (4 * per_lang + 64) / r["n"]) * (1 << 62) * 2 - (1 << 63)) if r["n"] > 4 * per_lang + 64 else (1 << 63) - 1) for r in counted]
+    few = keys.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "label string, limit long")), "label").filter(F.col("order") <= F.col("limit")).select("label", "doc_id", "order", "size").distinct()
+    before = Window.partitionBy("label").orderBy("order", "doc_id", "size")
+    taken = few.withColumn("k", F.row_number().over(before)).filter(F.col("k") <= per_lang).withColumn("bytes", F.sum("size").over(before))
+    ids = taken.filter((F.col("k") == 1) | (F.col("bytes") <= sample_bytes // len(counted) ** 2)).select("doc_id", "label").distinct()
+    held = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").filter((F.col("lang") == F.col("label")) & (size <= most_bytes))
+    rows = held.groupBy("label", "doc_id").agg(F.min("text").alias("text")).collect()  # bounded as said above, however often a row repeats
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["label"], r["doc_id"])):
         samples.setdefault(r["label"], []).append((r["text"] or "").encode())
     return Model(samples)
 
 
-def classify(docs: DataFrame, model: Model, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns `keep` of docs with a prediction and its score. und, with score 0: the text is null, has no letter, or no language was learned."""
+def classify(docs: DataFrame, model: Model, keep: list[str], pred: str = "lang_pred", score: str = "score", rate: str = "bits") -> DataFrame:
+    """The columns `keep` of docs with a prediction, its score, and its code length in bits a byte. und, with score 0: the text is null, has no letter, or no language was learned."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    mine = "text" if "text" in keep else f"__{scratch.root[-8:]}"
+    mine = "text" if "text" in keep else f"__{uuid.uuid4().hex}"
     held = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(pred, "string").add(score, "double")
+    schema = docs.select(*keep).schema.add(pred, "string").add(score, "double").add(rate, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
             t = texts(b, mine)
-            preds, scores = [], []
+            preds, scores, rates = [], [], []
             for x, y in by_bytes(t, 1 << 20):
                 bits = model.lengths(t[x:y])
                 for d, own in zip(t[x:y], bits, strict=True):
                     if not model.langs or not any(map(str.isalpha, d.decode())):
                         preds.append("und")
                         scores.append(0.0)
+                        rates.append(NO_MODEL)
                         continue
                     k = int(own.argmin())
                     preds.append(model.langs[k])
+                    rates.append(float(own[k] / len(d)))
                     # The odds as if the text's mean evidence were that of at most 64 bytes.
                     scores.append(float(1 / np.exp2(-(own - own[k]) * min(1, 64 / len(d))).sum()))
-            cols = [c for c in b.schema.names if c in schema.names[:-2]]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*cols, pred, score])
+            cols = [c for c in b.schema.names if c in schema.names[:-3]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*cols, pred, score, rate])
 
     return mapped(docs.select(*keep, *([] if mine == "text" else [F.col("text").alias(mine)])), run, schema)
 
@@ -208,12 +220,16 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     flagged = own.select("doc_id", held_out().alias("held_out"), "text")
-    return classify(flagged, fit(own), ["doc_id", "held_out"])
+    return classify(flagged, fit(own), ["doc_id", "held_out"]).drop("bits")
+
 
+def keep_known(docs: DataFrame, most: float = NO_MODEL) -> DataFrame:
+    """docs in a learned language; columns as they are. Languages are learned from docs itself, as by identify.
 
-def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without those in no learned language (und) or with a score under `least`; columns as they are."""
+    Without those of no prediction (und), and without those whose code is `most` bits a byte or longer under every
+    learned language: by default, those of which the best model knows no more than none. Null and empty texts go.
+    """
     mine = f"__{uuid.uuid4().hex}"
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    out = classify(docs, fit(known), docs.columns, f"{mine}_pred", f"{mine}_score")
-    return out.filter((F.col(f"{mine}_pred") != "und") & (F.col(f"{mine}_score") >= least)).select(*docs.columns)
+    out = classify(docs, fit(known), docs.columns, f"{mine}_pred", f"{mine}_score", f"{mine}_bits")
+    return out.filter((F.col(f"{mine}_pred") != "und") & (F.col(f"{mine}_bits") < most)).select(*docs.columns)
