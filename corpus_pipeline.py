@@ -6,11 +6,9 @@ documents; the last returns a row for each piece of a packed sequence.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import shared_dir
+from tidelog.llm.common import Scratch
 from tidelog.llm.decontam import drop_contaminated
 from tidelog.llm.exact_dedup import drop_copies
 from tidelog.llm.langid import keep_known
@@ -19,7 +17,7 @@ from tidelog.llm.packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: without those of null text or without a letter."""
+    """Documents in a learned language: without those of null text, without a letter, or that no learned language codes shorter than no model does."""
     return keep_known(docs)
 
 
@@ -49,13 +47,18 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("decontamin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each stage's result is stored in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{root}/{name}")
-        docs = spark.read.schema(made.schema).parquet(f"{root}/{name}")
+    """All stages over the documents of a folder; each stage's result is stored in the shared folder and read again.
+
+    What a stage stored on its way goes when its result is stored, a stage's result when the next one's is, and the last
+    one with the session.
+    """
+    docs, results = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        kept = len(Scratch.made)
+        docs = results.save(stage(spark, docs, sf_dir), name)
+        Scratch.forget(kept)
+        if k:
+            results.drop(STAGES[k - 1][0])
     return docs
 
 

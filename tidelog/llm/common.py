@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
@@ -16,44 +15,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.shared import shared_dir
+
 #: A side is broadcast up to so many rows (a few numbers each: tens of MB); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Texts handed to a library at once.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share. Only where none is set, as in local tests, a temporary one."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+class Scratch:
+    """Tables of one run, as Parquet in the shared folder: a lost executor costs a re-read, not a re-run.
 
+    Results may be read from them as long as the session lives; they go when it ends, or before by `forget`.
+    """
 
-class Scratch:
-    """Tables of one run, as Parquet in the shared folder: a lost executor costs a re-read, not a re-run."""
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        # Arrow batches are bounded by bytes as well as rows: a few very long texts can't blow up a worker.
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(path)
+        self.fs.deleteOnExit(path)
+        self.made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def save_owned(self, df: DataFrame, name: str, by: list[str], owners: int, order: str) -> DataFrame:
-        """df in one file for each of so many owners, dealt by the hash of `by`: groups and joins by those columns and others read it without a shuffle."""
+        """df in one file for each of so many owners, dealt by the hash of `by`: groups by those columns and others read it without a shuffle."""
         table = f"{os.path.basename(self.root)}_{name}".replace("-", "_")
         df.repartition(owners, *by).write.bucketBy(owners, *by).sortBy(order).option("path", f"{self.root}/{name}").format("parquet").saveAsTable(table)
+        self.tables.append(table)
         return self.spark.table(table)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
+    @classmethod
+    def forget(cls, kept: int) -> None:
+        """Deletes all made since there were so many: nothing may be read from them any more."""
+        for s in cls.made[kept:]:
+            for t in s.tables:
+                s.spark.sql(f"drop table if exists {t}")
+            s.drop("")
+        del cls.made[kept:]
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -93,7 +100,11 @@ def by_bytes(docs: Iterable[bytes], most: int) -> Iterator[tuple[int, int]]:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: bool = False) -> DataFrame:
-    """df.mapInArrow(run, schema). A worker, which Spark reuses, first gives back what it holds of other work; keep: but for piece caches."""
+    """df.mapInArrow(run, schema). A worker, which Spark reuses, first gives back what it holds of other work; keep: but for piece caches.
+
+    Sets the session's bound on the bytes of an Arrow batch: a few very long texts can't blow up a worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keep:

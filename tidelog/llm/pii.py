@@ -4,10 +4,14 @@ Every entity is replaced by a keyed permutation of its own format: the character
 alphabet and case) form a mixed-radix number, and a Feistel network with HMAC rounds, walked until it stays in range,
 permutes all numbers of that format. A permutation never gives two entities one surrogate and always gives one entity
 the same, in any document, task or run with the key: distinctness and coreference hold over the whole corpus without a
-shuffle. Known first names permute within the list of their gender.
-Persons are found behind a title or by a known first name with a name behind it; what names a person there is replaced in
-the rest of the text too. Each batch's replacements are also checked: two
-entities of a type with one surrogate would stop the run.
+shuffle. A surrogate is never its entity: fixed points of a permutation are exchanged in a cycle.
+
+Entities are compared by what they are, not by how they are written: numbers by their digits, IBANs by letters and
+digits, with check digits that are right if the entity's are. Known first names permute within the list of their gender.
+Of other names' letters, vowels become vowels and consonants consonants of their alphabet, so that a surrogate can be
+read. Persons are found behind a title or by a known first name with a name behind it; what names a person there is
+replaced in the rest of the text too. Each batch's replacements are checked: two entities of a type with one surrogate
+get others, drawn anew for both.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, mapped
+from tidelog.llm.common import mapped
 
 FEMALE = "Alice Amelia Anna Camille Carla Carmen Charlotte Chloe Clara Elena Elizabeth Emma Eva Hannah Helga Ines Isabel Jane Julia Karin Laura Lea Lucia Luisa Maria Marie Mary Nina Olivia Paula Petra Rosa Sarah Sofia Sophie Susan Ursula Valerie".split()
 MALE = "Alan Andreas Antonio Carlos Charles Claude David Diego Edward Emil Francisco Frank George Hans Henri Hugo Jack James Javier Jean John Jorge Juan Karl Klaus Louis Lukas Manuel Marc Michael Otto Pablo Paul Pedro Peter Pierre Robert Thomas".split()
@@ -34,6 +38,9 @@ _OTHERS = "Dr Dra Prof Professor Professeur Profesor Profesora Doctor Doctora Do
 #: Alphabets: a character varies within its own.
 _SETS = [string.digits, string.ascii_lowercase, string.ascii_uppercase, "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower()), "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper()), "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
 _SET_OF = {c: s for s in _SETS for c in s}
+_VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýāăąēĕėęěĩīĭįıōŏőœũūŭůűųŷαεηιουωаеиоуыэюяё" + "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýāăąēĕėęěĩīĭįōŏőœũūŭůűųŷαεηιουωаеиоуыэюяё".upper())
+#: The same, with vowels and consonants apart.
+_SOUND_OF = {c: "".join(x for x in s if (x in _VOWELS) == (c in _VOWELS)) for s in _SETS[1:] for c in s}
 _HEX = "0123456789abcdef"
 
 _UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩЁА-Я" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper())
@@ -62,32 +69,34 @@ _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
 _HINT = re.compile(rf"[0-9@]|{_TITLE}\.?[ \n]|(?:{_FIRST_NAMES})[ \n]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{{32}}|[A-F]{{32}}")
 
 
-#: Characters that are permuted as one number.
-BLOCK = 160
+#: Characters that are permuted as one number, and rounds of the network.
+BLOCK, ROUNDS = 160, 6
 
 
-def _feistel(key: bytes, label: str, x: int, size: int) -> int:
-    """A permutation of range(size), by key and label."""
-    if size <= 1:
-        return x
+def _feistel(key: bytes, label: str, x: int, size: int, back: bool = False) -> int:
+    """A permutation of range(size), by key and label; back: its inverse."""
     half = ((size - 1).bit_length() + 1) // 2
     mask, width = (1 << half) - 1, (half + 7) // 8
+
+    def drawn(i: int, b: int) -> int:
+        message = f"{label}/{size}/{i}/".encode() + b.to_bytes(width, "big")
+        d, n = b"", 0
+        while len(d) < width:
+            d += hmac.digest(key, message + bytes([n]), "sha256")
+            n += 1
+        return int.from_bytes(d[:width], "big") & mask
+
     while True:
         a, b = x >> half, x & mask
-        for i in range(8):
-            message = f"{label}/{size}/{i}/".encode() + b.to_bytes(width, "big")
-            d, n = b"", 0
-            while len(d) < width:
-                d += hmac.digest(key, message + bytes([n]), "sha256")
-                n += 1
-            a, b = b, a ^ int.from_bytes(d[:width], "big") & mask
+        for i in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+            a, b = (b ^ drawn(i, a), a) if back else (b, a ^ drawn(i, b))
         x = a << half | b
         if x < size:
             return x
 
 
 def permuted(key: bytes, label: str, text: str, sets: Callable[[str], str | None] = _SET_OF.get) -> str:
-    """text with its varying characters permuted; others, and so the format, stay.
+    """text with its varying characters permuted; others, and so the format, stay. Never text itself, if another is there.
 
     Beyond BLOCK characters, blocks are permuted in turn, each by a digest of those before it: still a permutation, in
     time that grows with the length.
@@ -105,7 +114,7 @@ def permuted(key: bytes, label: str, text: str, sets: Callable[[str], str | None
             x = x * len(s) + s.index(c)
             size *= len(s)
     form = "".join(s[0] if s else c for c, s in zip(text, own, strict=True))
-    x = _feistel(key, f"{label}:{form}", x, size)
+    x = moved(key, f"{label}:{form}", x, size)
     out = list(text)
     for i in range(len(text) - 1, -1, -1):
         if s := own[i]:
@@ -114,6 +123,11 @@ def permuted(key: bytes, label: str, text: str, sets: Callable[[str], str | None
     return "".join(out)
 
 
+def moved(key: bytes, label: str, x: int, size: int) -> int:
+    """A permutation of range(size) without fixed points, if size > 1: one permutation says the order in a single cycle, x is followed by the next."""
+    return _feistel(key, label, (_feistel(key, label, x, size, back=True) + 1) % size, size) if size > 1 else x
+
+
 def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
@@ -133,20 +147,26 @@ def _digits(key: bytes, kind: str, text: str, first: int = 0) -> str:
 def _card(key: bytes, text: str) -> str:
     """A number with a valid check digit gets a valid one, any other an invalid one."""
     own = "".join(c for c in text if c in string.digits)
-    if _luhn(own) == 0:
-        head = permuted(key, "card", own[:-1])
-        return _within(text, string.digits, next(head + c for c in string.digits if _luhn(head + c) == 0))
-    new = permuted(key, "cardlike", own)
-    while _luhn(new) == 0:
-        new = permuted(key, "cardlike", new)
-    return _within(text, string.digits, new)
+    head = permuted(key, "card", own[:-1])
+    # The tail's distance from the right check digit stays: one number has one surrogate, and a valid one a valid one.
+    right = lambda x: next(k for k in range(10) if _luhn(x + str(k)) == 0)
+    return _within(text, string.digits, head + str((int(own[-1]) - right(own[:-1]) + right(head)) % 10))
+
+
+def _iban(key: bytes, text: str) -> str:
+    """However it is spaced. Country and format stay; check digits are right if they are, by ISO 7064, and as wrong if they aren't."""
+    own = text.replace(" ", "")
+    body = permuted(key, f"iban:{own[:2]}", own[4:])
+    right = lambda x: (98 - int("".join(str(int(c, 36)) for c in x + own[:2] + "00")) % 97) % 100
+    new = iter(f"{own[:2]}{(int(own[2:4]) - right(own[4:]) + right(body)) % 100:02d}{body}")
+    return "".join(c if c == " " else next(new) for c in text)
 
 
 def _ip(key: bytes, text: str) -> str:
     x = 0
     for part in text.split("."):
         x = x << 8 | int(part)
-    x = _feistel(key, "ip", x, 1 << 32)
+    x = moved(key, "ip", x, 1 << 32)
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -164,10 +184,10 @@ def _email(key: bytes, text: str) -> str:
 def _word(key: bytes, word: str, names: list[str] | None) -> str:
     for own in (FEMALE, MALE) if names is None else (names,):
         if word in own:
-            return own[_feistel(key, f"name:{own[0]}", own.index(word), len(own))]
-    new = permuted(key, "name", word)
+            return own[moved(key, f"name:{own[0]}", own.index(word), len(own))]
+    new = permuted(key, "name", word, _SOUND_OF.get)
     while new in FEMALE or new in MALE:  # those are the surrogates of known names
-        new = permuted(key, "name", new)
+        new = permuted(key, "name", new, _SOUND_OF.get)
     return new
 
 
@@ -209,15 +229,22 @@ def _secret(key: bytes, text: str) -> str:
     return head + permuted(key, f"secret:{head}", body)
 
 
+#: Country codes of one and two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
 def _phone(key: bytes, text: str) -> str:
-    """A country code stays."""
-    m = re.match(r"\+([0-9]{1,3})(?=[ .(-])", text)
-    return _digits(key, "phone", text, len(m[1]) if m else min(2, text.count("+") * 2))
+    """A country code stays; without one, a number of ten digits is one of +1."""
+    own = "".join(c for c in text if c in string.digits)
+    code = next((own[:k] for k in (1, 2) if own[:k] in _CODES), own[:3]) if "+" in text else ""
+    rest = own[len(code) :]
+    new = permuted(key, f"phone:{code or ('1' if len(rest) == 10 else '')}", rest)
+    return _within(text, string.digits, code + new)
 
 
 _MAKE: dict[str, Callable[[bytes, str], str]] = {
     "email": _email, "secret": _secret, "ip": _ip, "card": _card, "person": _person, "phone": _phone,
-    "iban": lambda key, t: t[:2] + permuted(key, f"iban:{t[:2]}:{re.sub('[^ ]', 'x', t)}", t[2:]),
+    "iban": _iban,
     "ssn": lambda key, t: _digits(key, "ssn", t),
 }
 
@@ -227,19 +254,36 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     return _MAKE[kind](key, text)
 
 
+_SAME: dict[str, Callable[[str], str]] = {
+    "email": str.lower,
+    "iban": lambda t: t.replace(" ", ""),
+    **dict.fromkeys(("ssn", "card", "phone"), lambda t: re.sub("[^+0-9]", "", t)),
+    "person": lambda t: t.replace("\n", " "),
+}
+
+
+def distinct(key: bytes, kind: str, text: str, seen: dict[tuple[str, str], str]) -> str:
+    """The surrogate of an entity; seen: (type, surrogate) to entity. Where another entity has it, it is drawn anew by a key of that draw."""
+    same, new, draw = _SAME.get(kind, str)(text), surrogate(key, kind, text), 0
+    while seen.setdefault((kind, _SAME.get(kind, str)(new)), same) != same or new == text:
+        draw += 1
+        new = surrogate(hmac.digest(key, b"draw %d" % draw, "sha256"), kind, text)
+        if draw == 64:  # a format of so few members has no other
+            break
+    return new
+
+
 def replace(text: str, key: bytes, seen: dict[tuple[str, str], str] | None = None) -> tuple[str, dict[str, int]]:
-    """The text with surrogates, and how many of each type. seen: (type, surrogate) to entity, to check distinctness."""
+    """The text with surrogates, and how many of each type. seen: see distinct; kept over texts, it keeps their entities apart."""
     counts: dict[str, int] = {}
     if not _HINT.search(text):
         return text, counts
+    known = {} if seen is None else seen
 
     def one(m: re.Match) -> str:
         kind = m.lastgroup
         counts[kind] = counts.get(kind, 0) + 1
-        new = surrogate(key, kind, m[0])
-        if seen is not None and seen.setdefault((kind, new), m[0]) != m[0]:
-            raise ValueError(f"two entities of type {kind} have one surrogate")
-        return new
+        return distinct(key, kind, m[0], known)
 
     found = list(_PATTERN.finditer(text))
     names = names_of(text, [m[0] for m in found if m.lastgroup == "person"])
@@ -263,9 +307,10 @@ def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
     A null text stays null, with nothing replaced; an empty one stays empty. Repeated rows give repeated results. The
     key must be kept secret, and the same for tables whose entities are to be compared. Nothing is shuffled. Texts are
-    searched whole, one at a time.
+    searched whole, one at a time. An entity written in several ways has one surrogate, written alike. Should two
+    entities of a batch meet in one, the later is drawn anew: their formats' permutations make that impossible within a
+    format, so it can only concern entities of unlike formats.
     """
-    Scratch(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

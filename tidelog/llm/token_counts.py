@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, mapped, texts
+from tidelog.llm.common import SLICE_BYTES, PieceCache, by_bytes, mapped, texts
 
 _MARK = "▁".encode()
 #: A space after something that isn't itself white: no piece of the vocabulary holds a mark behind another character.
@@ -67,7 +67,6 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     A null or empty text has 0 bytes and 0 tokens. Repeated rows give repeated results; a null id stays null. Texts over
     4 MB are encoded in slices cut at safe spaces, so that memory is bounded by the longest stretch without one.
     """
-    Scratch(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
