@@ -151,7 +151,7 @@ def _cache(tokenizer: str, plain: bool) -> PieceCache:
             ids = iter(merges([w for w in words if w not in apart]))
             return [apart[w] if w in apart else next(ids) for w in words]
 
-        _caches[tokenizer, plain] = PieceCache(encode, 48 << 20, 600_000)
+        _caches[tokenizer, plain] = PieceCache(encode)
     return _caches[tokenizer, plain]
 
 
