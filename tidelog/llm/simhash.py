@@ -130,7 +130,7 @@ Confirm = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def forest(prints: np.ndarray, sizes: np.ndarray, radius: int, wide: int = 0, confirm: Confirm | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join, within each bucket of so many rows, what the radius joins: no more than there are rows.
+    """Links (positions) that join, within each bucket of so many rows, what the radius joins: from each row but the first of what it is joined with, to that one.
 
     prints: (rows, columns), buckets one behind the other. The first column is compared with radius; where there are
     more, all with `wide` as well. confirm: says of pairs within them which are links; asked of rows not yet joined only.
@@ -145,7 +145,7 @@ def forest(prints: np.ndarray, sizes: np.ndarray, radius: int, wide: int = 0, co
     # Each row against the rows behind it in its bucket: the words that hold them.
     first = row + 1 >> 6
     lanes = np.where(row + 1 < stop, (stop - 1 >> 6) - first + 1, 0)
-    label, a, b = row.copy(), [], []
+    label = row.copy()
     steps = np.cumsum(lanes)
     begin = 0
     while begin < len(prints):
@@ -161,16 +161,16 @@ def forest(prints: np.ndarray, sizes: np.ndarray, radius: int, wide: int = 0, co
         for i in range(0, len(word), 1 << 14):  # at most 64 pairs a lane
             bits = np.unpackbits(np.ascontiguousarray(alive[i : i + (1 << 14)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             lane, bit = np.nonzero(bits)
-            _join(label, query[i + lane], 64 * word[i + lane] + bit, a, b, confirm)
+            _join(label, query[i + lane], 64 * word[i + lane] + bit, confirm)
         begin = end
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    moved = np.flatnonzero(label != row)
+    return moved, label[moved]
 
 
-def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray, a: list, b: list, confirm: Confirm | None) -> None:
+def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray, confirm: Confirm | None) -> None:
     """Joins pairs in label, or those that are confirmed: one of each x first, then two, four, for what is not yet joined."""
     if confirm is None:
-        return _hook(label, x, y, a, b)
+        return _hook(label, x, y)
     take = 1
     while True:
         differ = label[x] != label[y]
@@ -180,12 +180,12 @@ def _join(label: np.ndarray, x: np.ndarray, y: np.ndarray, a: list, b: list, con
         heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
         now = np.arange(len(x)) - np.repeat(heads, np.diff(np.r_[heads, len(x)])) < take
         sure = confirm(x[now], y[now])
-        _hook(label, x[now][sure], y[now][sure], a, b)
+        _hook(label, x[now][sure], y[now][sure])
         x, y, take = x[~now], y[~now], 2 * take
 
 
-def _hook(label: np.ndarray, x: np.ndarray, y: np.ndarray, a: list, b: list) -> None:
-    """Joins x and y in label (each row's root), adding a link for every root that gets another."""
+def _hook(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins x and y in label: each row's root, the first of what it is joined with."""
     while len(x):
         u, v = label[x], label[y]
         differ = u != v
@@ -194,9 +194,6 @@ def _hook(label: np.ndarray, x: np.ndarray, y: np.ndarray, a: list, b: list) ->
             return
         low, high = np.minimum(u, v), np.maximum(u, v)
         np.minimum.at(label, high, low)  # roots only: a root's label is itself or now a smaller root
-        moved = np.unique(high)
-        a.append(moved)
-        b.append(label[moved])
         while True:  # to the roots again
             up = label[label]
             if (up == label).all():
