@@ -29,8 +29,13 @@ def test_columns(stored):
     assert all(d.columns == stored[0].columns for d in stored[:-1])
 
 
-def test_language_drops_only_texts_without_letters(stored):
+def test_language_keeps_what_a_language_knows(spark, stored):
+    """Of the small documents, those with a letter; of others, none in a language or script that wasn't learned, or of letters at random."""
     assert texts_of(stored[1]) == {i: t for i, t in texts_of(stored[0]).items() if any(map(str.isalpha, t or ""))}
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由，在尊严和权利上一律平等", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", "qzxj vkwq xzzq jjkw qqxz vvkj zxqw kjqx", "12 34", None]
+    n = 1_000_000
+    docs = stored[0].unionByName(docs_of(spark, foreign, [n + i for i in range(len(foreign))]))
+    assert texts_of(corpus_pipeline.language(spark, docs, SMALL)) == texts_of(stored[1])
 
 
 def test_exact(stored):
