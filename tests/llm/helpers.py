@@ -200,3 +200,61 @@ def leaks(docs: list[tuple], items: list[tuple], least: float = 0.8) -> dict:
             if found:
                 out[i, k] = max(found)[1:]
     return out
+
+
+def chunk_spans(rows: list[tuple]) -> dict:
+    """(doc_id, text) rows with unique ids to op7's columns by id: chunks by the rolling hash of every place, the first of each stays, runs grow byte by byte."""
+    from tidelog.llm.substring_dedup import _GEAR, LEAST, MOST, NEAREST, SIDE, WIDTH, ZEROS
+
+    gear = [int(g) for g in _GEAR]
+    raws = {i: (t or "").encode() for i, t in sorted(rows)}
+
+    def chunks(x: bytes) -> list[tuple[int, int]]:
+        natural = [p for p in range(WIDTH, len(x) + 1) if sum(gear[x[p - 1 - j]] << j for j in range(WIDTH)) % (1 << 16) < 1 << 16 - ZEROS]
+        ends = [p for k, p in enumerate(natural) if p >= WIDTH + NEAREST and (not k or p - natural[k - 1] >= NEAREST)]
+        edges = sorted({0, len(x), *ends})
+        return [(at, min(at + MOST, z)) for a, z in zip(edges, edges[1:], strict=False) for at in range(a, z, MOST)]
+
+    first: dict[bytes, tuple[int, int]] = {}
+    out = {}
+    for i, x in raws.items():
+        found = []  # (begin, end, source, shift)
+        for a, z in chunks(x):
+            source, at = first.setdefault(x[a:z], (i, a))
+            if (source, at) != (i, a):
+                found.append((a, z, source, a - at))
+        spans = [(a, z) for a, z, _, _ in found]
+        covers = joined_spans(spans)
+        runs: list[list] = []
+        for a, z, source, shift in sorted(found, key=lambda f: (f[2], f[3], f[0])):
+            if runs and runs[-1][2:] == [source, shift] and runs[-1][1] == a:
+                runs[-1][1] = z
+            else:
+                runs.append([a, z, source, shift])
+        for k, (a, z, source, shift) in enumerate(runs):
+            other = raws[source]
+            floor = runs[k - 1][1] if k and runs[k - 1][2:] == [source, shift] else 0
+            roof = runs[k + 1][0] if k + 1 < len(runs) and runs[k + 1][2:] == [source, shift] else len(x)
+            cover = next(c for c in covers if c[0] <= a < c[1])
+            if a - cover[0] < SIDE:
+                while a > floor and a > shift and x[a - 1] == other[a - 1 - shift]:
+                    a -= 1
+            if cover[1] - z < SIDE:
+                while z < roof and z - shift < len(other) and x[z] == other[z - shift]:
+                    z += 1
+            if z - a >= LEAST:
+                spans.append((a, z))
+        gone = [(a, z) for a, z in joined_spans(spans) if z - a >= LEAST]
+        kept = b"".join(x[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(x)], strict=True))
+        out[i] = (len(x), sum(z - a for a, z in gone), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 from conftest import SF
-from helpers import SMALL, covered, exact_groups, leaks, linked, pieces, simhash
+from helpers import SMALL, chunk_spans, covered, exact_groups, leaks, linked, pieces, simhash
 
 from tidelog.llm import queries as llm
 
@@ -85,6 +85,10 @@ def test_op6_held_out_accuracy(spark):
     assert right / total > 0.95
 
 
+def test_op7_equals_every_chunk(spark, rows):
+    assert by_id(llm.op7_substring_dedup(spark, SMALL), "n_bytes", "n_removed", "n_spans", "kept_sha256") == chunk_spans(rows)
+
+
 def test_op8_equals_all_strings(spark, rows):
     assert by_id(llm.op8_suffix_array_dedup(spark, SMALL), "n_bytes", "n_removed", "n_spans", "kept_sha256") == covered(rows)
 

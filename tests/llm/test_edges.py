@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import pytest
-from helpers import SMALL, awkward, corpus, covered, docs_of, empty, exact_groups, leaks, linked, similar, simhash
+from helpers import SMALL, awkward, chunk_spans, corpus, covered, docs_of, empty, exact_groups, leaks, linked, similar, simhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, exact_dedup, langid, line_dedup, near_dedup, packing, pii, simhash as sim, substring_dedup, suffix_dedup, token_counts
@@ -256,6 +256,14 @@ def test_suffix_dedup_of_hot_strings(spark, monkeypatch, hot):
     assert out == covered(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_substring_dedup_of_a_corpus(spark, seed):
+    """Of one batch: the earliest place in it is the earliest of all."""
+    texts = [None, "", *corpus(seed, 150, 120), "z" * 900, "ab" * 300, "short"]
+    out = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs_of(spark, texts, parts=1)).collect()}
+    assert out == chunk_spans(list(enumerate(texts)))
+
+
 def test_substring_dedup_keeps_first_passages(spark):
     """What is left with what was removed makes each text; passages of many words go where they come again, wherever they begin."""
     import random
