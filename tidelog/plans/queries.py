@@ -324,11 +324,11 @@ _CLIENT = f"""with l as (select event_id as seq, case when event_type = 'error'
   when event_type = 'view' then 'GET  User ' || user_id || chr(10) when event_id % 7 = 0 then 'set  =' || user_id
   when event_id % 7 = 1 then 'Set User ' || user_id || ' = ' || props || chr(10) when event_id % 7 = 2 then 'set ' || user_id || '=' || chr(10)
   when event_id % 7 = 3 then 'set ' || user_id || '=a=b' when event_id % 7 = 4 then 'exitfoo' when event_id % 7 = 5 then 'get ' || user_id else '' end as line from events),
-o as (select *, case when regexp_matches(line, '{commands.CLIENT_GET}') then 'get' when regexp_matches(line, '{commands.CLIENT_SET}') then 'set'
-  when regexp_matches(line, '{commands.CLIENT_DELETE}') then 'delete' when regexp_matches(line, '{commands.CLIENT_EXIT}') then 'exit' else 'invalid' end as op from l)
-select seq, line, op, case op when 'get' then {_trim(f"regexp_extract(line, '{commands.CLIENT_GET}', 1)")} when 'set' then {_trim(f"regexp_extract(line, '{commands.CLIENT_SET}', 1)")}
-  when 'delete' then {_trim(f"regexp_extract(line, '{commands.CLIENT_DELETE}', 1)")} end as key,
-  case op when 'set' then {_trim(f"regexp_extract(line, '{commands.CLIENT_SET}', 2)")} end as value from o"""
+c as (select *, case when lower(line[1:3]) in ('get', 'set') and line[4:4] in (' ', chr(9)) then 3 when lower(line[1:6]) = 'delete' and line[7:7] in (' ', chr(9)) then 6 end as n from l),
+r as (select *, lower(line[1:n]) as verb, ltrim(line[n + 1:], ' ' || chr(9)) as rest from c),
+o as (select *, case when verb in ('get', 'delete') then verb when verb = 'set' and instr(rest, '=') > 1 and split_part(rest, '=', 2) <> '' then 'set' when lower(line[1:4]) = 'exit' then 'exit' else 'invalid' end as op from r)
+select seq, line, op, case when op in ('get', 'delete') then {_trim('rest')} when op = 'set' then {_trim("split_part(rest, '=', 1)")} end as key,
+  case when op = 'set' then {_trim("split_part(rest, '=', 2)")} end as value from o"""
 _REPL = f"""with l as (select event_id as seq, case when event_type = 'error' then ' del User' || user_id || chr(10) when event_type = 'view' then 'GET User' || user_id
   when event_id % 7 = 0 then 'set  ' || user_id when event_id % 7 = 1 then 'SET User' || user_id || ' V' || user_id when event_id % 7 = 2 then 'segment-inspect segment-1.dat'
   when event_id % 7 = 3 then 'List' when event_id % 7 = 4 then 'exitfoo' when event_id % 7 = 5 then 'segment-list' else 'set ' || user_id || '  v' end as line from events),
