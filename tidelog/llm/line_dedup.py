@@ -57,15 +57,19 @@ def line_dedup(pages: DataFrame, ratio: float = 0.5, least_pages: int = 3) -> Da
     return kept.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"), F.array_join("left", "\n").alias("text"))
 
 
-ORACLE = rf"""
-with t as (select page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) as host,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', chr(10), 'g'), '{BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'),
-      '[ \t\r]*\n[ \t\r\n]*', chr(10), 'g') as shown from pages),
-c as (select page_id, host, list_filter(string_split(shown, chr(10)), lambda x: trim(x, ' ') <> '') as lines from t),
+#: Written on its own: tags are told apart by name, not by the patterns above.
+ORACLE = r"""
+with u as (select page_id, regexp_replace(case when regexp_matches(coalesce(url, ''), '^[a-zA-Z][^:/]*://') then lower(url[instr(url, '://') + 3:]) else '' end, '[/?#].*$', '') as host, coalesce(html, '') as html from pages),
+v as (select page_id, host, regexp_replace(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', chr(10), 'g'), '<style[\s\S]*?</style>', chr(10), 'gi'), '<script[\s\S]*?</script>', chr(10), 'gi') as html from u),
+g as (select page_id, host, html, list_distinct(regexp_extract_all(html, '<[^>]*>')) as tags from v),
+b as (select page_id, host, html, list_filter(tags, lambda x: lower(regexp_extract(x, '^</?([a-zA-Z0-9]*)', 1)) in ('p', 'div', 'br', 'hr', 'li', 'ul', 'ol', 'nav', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'header', 'footer', 'article', 'section', 'aside', 'main', 'table', 'tr', 'td', 'th', 'title', 'head', 'body', 'html', 'blockquote', 'pre', 'form')) as blocks from g),
+s as (select page_id, host, list_reduce(list_prepend(html, blocks), lambda acc, x: replace(acc, x, chr(10))) as html from b),
+t as (select page_id, host, list_transform(string_split(regexp_replace(html, '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) as shown from s),
+c as (select page_id, host, list_filter(shown, lambda x: x <> '') as lines from t),
 p as (select host, count(*) as pages from c group by host having count(*) >= 3),
 e as (select host, unnest(list_distinct(lines)) as line from c),
-b as (select host, line from e group by host, line having count(*) > 1),
-n as (select e.host, e.line, count(*) as n from e join b using (host, line) group by all),
+m as (select host, line from e group by host, line having count(*) > 1),
+n as (select e.host, e.line, count(*) as n from e join m using (host, line) group by all),
 d as (select host, list(line) as gone from n join p using (host) where n > 0.5 * pages group by host),
 o as (select page_id, host, lines, case when gone is null then lines else list_filter(lines, lambda x: not list_contains(gone, x)) end as kept from c left join d using (host))
 select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(kept))::bigint as n_removed, coalesce(array_to_string(kept, chr(10)), '') as text from o
