@@ -81,6 +81,17 @@ def test_offsets_and_sparse_index(spark):
     assert out == {"a": ("value", ""), "h": ("value", "v" * 7), "hh": ("absent", None), "z": ("absent", None), "": ("absent", None)}
 
 
+@pytest.mark.parametrize("prefix", ["", "user:0000", "é"])
+def test_offsets_of_a_large_segment(spark, prefix):
+    """Counted in ranges of keys, they are what one window gives."""
+    r = random.Random(2)
+    own = [(f"{prefix}{r.randrange(10**6):06d}", "v" * r.randrange(5)) for _ in range(500)]
+    entries = entries_of(spark, sorted(dict(own).items()), [("x", "1"), (prefix, None)])
+    want = sorted(map(tuple, index.entry_offsets(entries).select("segment_id", "key", "idx", "stride", "offset").collect()))
+    for ranges in (2, 256):
+        assert sorted(map(tuple, index.entry_offsets(entries, ranges).select("segment_id", "key", "idx", "stride", "offset").collect())) == want
+
+
 RECORDS = [("a", "1", "01000000016100000001" + "31"), ("a", "", "0100000001" + "61" + "00000000"), ("é", "x", "0100000002C3A90000000178"), ("a", None, "020000000161")]
 
 

@@ -256,7 +256,9 @@ class Engine:
 
     def inspect(self, segment_id: int) -> DataFrame:
         """The sparse index of a segment; no rows for one that isn't there."""
-        return segment_inspect(sparse_index(self.store.entries().filter(F.col("segment_id") == segment_id).drop("seq")), segment_id)
+        base = self.store.manifest["base"]
+        ranges = 256 if base and base["segment_id"] == segment_id else 1
+        return segment_inspect(sparse_index(self.store.entries().filter(F.col("segment_id") == segment_id).drop("seq"), ranges=ranges), segment_id)
 
     def compact(self, rounds: int = 1, purge: bool = False) -> int:
         self._check()
