@@ -502,6 +502,46 @@ def test_a_surrogate_that_another_entity_has_is_drawn_anew():
     assert pii.distinct(KEY, "ssn", "987-65-4321", {}) == pii.surrogate(KEY, "ssn", "987-65-4321")
 
 
+def test_sides_are_sized_by_rows_and_bytes(spark):
+    from tidelog.llm.common import sized
+
+    df = spark.createDataFrame([(1, "x" * 1000, ["a", None, "bcd"]), (2, None, None)], "k long, t string, s array<string>")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(sized(df)) and not hinted(sized(df, most=1)) and not hinted(sized(df, most_bytes=1000)) and hinted(sized(df, most_bytes=1300))
+
+
+def test_a_text_over_a_slice_through_whole_queries(spark, tmp_path):
+    """5 MB in one text, with an entity and a benchmark item at its end, and its second half again in another."""
+    import random
+
+    import sentencepiece
+    from helpers import pieces
+    from tokenizers import Tokenizer
+
+    r = random.Random(17)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    item = "which of these five rivers runs through the old town of the north"
+    long = " ".join(r.choice(vocabulary) for _ in range(790_000)) + f" ann@mail.example {item}"
+    half = long[len(long) // 2 :]
+    assert len(long) > 5_000_000
+    docs = docs_of(spark, [long, half, "a short text"], langs=["en"] * 3)
+    by_id = lambda df: {x["doc_id"]: x for x in df.collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=model("piece_bpe_32k.model"))
+    assert by_id(token_counts.token_counts(docs, model("piece_bpe_32k.model")))[0]["n_tokens"] == len(sp.encode(long))
+    packed = packing.pack(docs, model("word_bpe_49k.json")).filter("doc_id = 0").orderBy("piece").collect()
+    assert [(x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in packed] == pieces(long, Tokenizer.from_file(model("word_bpe_49k.json")), 4096)
+    assert by_id(exact_dedup.exact_dedup(docs))[0]["text_sha256"] == hashlib.sha256(long.replace(" ", "").encode()).hexdigest()
+    assert by_id(sim.simhash_groups(docs))[0]["fingerprint"] == f"{simhash(long, 3)[0]:016x}"
+    assert by_id(langid.identify(docs))[0]["lang_pred"] == "en"
+    found = by_id(suffix_dedup.suffix_dedup(docs))
+    assert (found[0]["n_removed"], found[1]["n_removed"]) == (0, len(half))
+    assert by_id(substring_dedup.substring_dedup(docs))[1]["n_removed"] == len(half)
+    assert "ann@mail" not in by_id(pii.surrogates(docs, KEY))[0]["text"][-200:]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {x["doc_id"] for x in decontam.contaminated(docs, bench).collect()} == {0, 1}
+    assert sorted(x["doc_id"] for x in near_dedup.one_of_each(docs).select("doc_id").collect()) == [0, 1, 2]
+
+
 def test_scratch_tables_go(spark):
     import os
 

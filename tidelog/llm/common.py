@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.shared import shared_dir
 
-#: A side is broadcast up to so many rows (a few numbers each: tens of MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast up to so many rows and bytes; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Texts handed to a library at once.
 SLICE_BYTES = 4 << 20
 
@@ -63,9 +63,12 @@ class Scratch:
         del cls.made[kept:]
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its rows, counted now, are few; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.count() <= most else df
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows and their bytes, counted now, are few; else as it is, so that the join shuffles."""
+    weights = {"string": F.octet_length, "binary": F.octet_length, "array<string>": lambda c: F.octet_length(F.array_join(c, "", "")) + 16 * F.size(c)}
+    size = sum((F.coalesce(weights[kind](F.col(c)), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in weights), F.lit(16 * len(df.columns)).cast("long"))
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and held <= most_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
