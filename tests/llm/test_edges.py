@@ -633,7 +633,7 @@ def test_decontamination_of_a_window_that_all_share(spark):
     items = decontam.item_windows(bench)
     both = items.groupBy("item_id", "window").agg(F.max("form").alias("form"), F.max(1 - F.col("form")).alias("word"))
     sizes = both.groupBy("item_id").agg(F.sum("form").alias("n_form"), F.sum("word").alias("n_word"))
-    hashes = decontam.hashed(docs.select("doc_id", decontam.tokens_of(F.col("text")).alias("tokens"))).select("doc_id", F.explode(decontam.all_windows()).alias("window"))
+    hashes = decontam.hashed(docs, "doc_id").select("doc_id", F.explode(decontam.all_windows()).alias("window"))
     met = scratch.save(hashes.join(both.select("window").distinct(), "window", "left_semi").distinct(), "met")
     assert met.join(decontam.probes(both, sizes, met, 0.8), "window").select("doc_id", "item_id").distinct().count() == 1
 

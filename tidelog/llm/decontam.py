@@ -26,73 +26,82 @@ LEAST = 0.8
 #: Windows with more slots than this say too little without their values ("N N N N of"): they are hashed with them.
 MOST_SLOTS = 3
 NUMBER, NAME, UNIT, JOIN = "\x01", "\x02", "\x03", "\x04"
+#: Classes of characters: white space, and what tokens are made of.
+_WHITE, _TOKEN = "\\s\\u0085\\p{Z}\\x01-\\x04", "\\p{L}\\p{N}\\p{M}\\x02\\x04"
 _UNITS = "km|cm|mm|kg|mg|ml|kb|mb|gb|tb|mph|kmh|hz|kwh|m|g|l|s|h|km2|m2|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|kilos?|pounds?|ounces?|tons?|tonnes?|litres?|liters?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|heures?|jours?|stunden?|tagen?|horas?|litros?|metros?"
 
 
-def tokens_of(text: Column) -> Column:
-    """Lower-case words without punctuation; a slot has its type's control character before its value."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\s\\u0085\\p{Z}\\x01-\\x04]+", " ")
+def canonical(text: Column) -> Column:
+    """Lower-case words without punctuation, between single spaces; a slot has its type's control character before its value."""
+    # Patterns begin with what is rare: a look behind comes after it, and single spaces, which stay, match nothing.
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_WHITE}&&[^ ]][{_WHITE}]*+| [{_WHITE}]++", " ")
     # A capitalised word behind a lower-case one, inside a sentence, is a name; names side by side are one.
-    t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)(?![\\p{L}])", f"{NAME}$1")
-    t = F.regexp_replace(t, f"(?<={NAME}\\p{{L}}{{1,40}}) {NAME}", JOIN)
-    t = F.lower(F.regexp_replace(t, "(?<=\\d)[.,:](?=\\d)", ""))
-    t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}\\x02\\x04]+", " ")
-    t = F.regexp_replace(t, "(?<![\\p{L}\\p{N}])(\\p{N}+)", f"{NUMBER}$1")
+    t = F.regexp_replace(t, "(\\p{Lu}(?<=[\\p{Ll},;] .)\\p{Ll}++)(?!\\p{L})", f"{NAME}$1")
+    t = F.regexp_replace(t, f" {NAME}(?<={NAME}\\p{{L}}{{1,40}} {NAME})", JOIN)
+    t = F.lower(F.regexp_replace(t, "[.,:](?<=\\d.)(?=\\d)", ""))
+    t = F.regexp_replace(t, f"[^{_TOKEN} ][^{_TOKEN}]*+| [^{_TOKEN}]++", " ")
+    t = F.regexp_replace(t, "(\\p{N}(?<![\\p{L}\\p{N}]\\p{N})\\p{N}*+)", f"{NUMBER}$1")
     t = F.regexp_replace(t, f"({NUMBER}\\p{{N}}+) ?({_UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
-    return F.filter(F.split(t, " "), lambda x: x != "")
+    return F.trim(t)
 
 
-def template(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return F.when(first <= UNIT, first).otherwise(token)
-
-
-def plain(token: Column) -> Column:
-    return F.when(F.substring(token, 1, 1) <= UNIT, F.substring(token, 2, 1 << 30)).otherwise(token)
-
-
-def hashed(df: DataFrame) -> DataFrame:
-    """df (with tokens) and hashes: of its tokens' templates, of their values, and of the plain words, of which a name may have several."""
-    words = F.flatten(F.transform("tokens", lambda x: F.split(plain(x), JOIN)))
-    return df.select("*", F.transform("tokens", lambda x: F.xxhash64(template(x))).alias("forms"), F.transform("tokens", lambda x: F.xxhash64(plain(x))).alias("values"), F.transform(words, lambda x: F.xxhash64(x)).alias("words"))
-
-
-def _windows(name: str, make) -> Column:
-    """make(place) for each five of array `name` in a row; none where there are fewer."""
-    at = F.when(F.size(name) >= WINDOW, F.sequence(F.lit(1), F.size(name) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, make)
+def hashed(df: DataFrame, *keep: str) -> DataFrame:
+    """keep of df (with text), its tokens, and hashes: `forms` of the tokens' templates, `words` of the plain words, of which a name may have several."""
+    plain, cut = F.translate("canon", f"{JOIN}{NUMBER}{NAME}{UNIT}", " "), lambda t: F.when(t != "", F.split(t, " ")).otherwise(F.array().cast("array<string>"))
+    own = df.select(*keep, canonical(F.col("text")).alias("canon"))
+    own = own.select(*keep, cut(F.col("canon")).alias("tokens"), F.transform(cut(plain), lambda x: F.xxhash64(x)).alias("words"))
+    # Texts without a slot, and tokens that aren't one, are their own templates.
+    marks = F.filter(F.transform("tokens", lambda x, i: F.when(x <= f"{JOIN}", i)), lambda i: i.isNotNull())
+    own = own.select("*", marks.alias("slots"))
+    return own.select("*", F.when(F.size("slots") > 0, F.transform("tokens", lambda x: F.xxhash64(F.when(x <= f"{JOIN}", F.substring(x, 1, 1)).otherwise(x)))).alias("forms"))
 
 
 def _hash(name: str, i: Column) -> Column:
-    return F.xxhash64(*(F.element_at(name, i + k) for k in range(WINDOW)))
+    return F.xxhash64(*(F.element_at(name, i + k) for k in range(1, WINDOW + 1)))
 
 
-def _slots(i: Column) -> Column:
-    return sum((F.when(F.element_at("forms", i + k) != F.element_at("values", i + k), 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
+def plain_windows() -> Column:
+    """Of each five words in a row; none where there are fewer."""
+    return F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: _hash("words", i))).otherwise(F.array().cast("array<bigint>"))
 
 
-def plain_windows() -> Column:
-    return _windows("words", lambda i: _hash("words", i))
+def _value(token: Column) -> Column:
+    return F.xxhash64(F.when(token <= JOIN, F.substring(token, 2, 1 << 30)).otherwise(token))
 
 
 def template_windows() -> Column:
-    """Of templates; with more than MOST_SLOTS slots, of the values. Without slots, both are the plain words'."""
-    return _windows("forms", lambda i: F.when(_slots(i) > MOST_SLOTS, _hash("values", i)).otherwise(_hash("forms", i)))
+    """(pos, window) of each five tokens in a row with a slot among them: of their templates, or with more than MOST_SLOTS slots, of their values."""
+    near = F.array_distinct(F.flatten(F.transform("slots", lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), i))))
+    at = F.filter(near, lambda i: i <= F.size("tokens") - WINDOW)
+    many = lambda i: F.size(F.filter("slots", lambda s: s.between(i, i + (WINDOW - 1))))
+    values = lambda i: F.xxhash64(*(_value(F.element_at("tokens", i + k)) for k in range(1, WINDOW + 1)))
+    made = F.transform(at, lambda i: F.struct(i.alias("pos"), F.when(many(i) > MOST_SLOTS, values(i)).otherwise(_hash("forms", i)).alias("window")))
+    return F.when(F.size("slots") > 0, made).otherwise(F.array().cast("array<struct<pos: int, window: bigint>>"))
 
 
 def all_windows() -> Column:
-    """The windows of both kinds; those without slots, which are the same for both, once."""
-    other = _windows("forms", lambda i: F.when(_slots(i) > MOST_SLOTS, _hash("values", i)).when(_slots(i) > 0, _hash("forms", i)))
-    return F.concat(plain_windows(), F.filter(other, lambda w: w.isNotNull()))
+    """The windows of both kinds; without slots, they are the same."""
+    return F.concat(plain_windows(), F.transform(template_windows(), lambda w: w["window"]))
+
+
+def slots_at(pos: Column) -> Column:
+    """The slots of the five tokens from pos on, null for words."""
+    return F.transform(F.slice("tokens", pos + 1, WINDOW), lambda x: F.when(x <= JOIN, x))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, window, slots, form): plain windows and, with form 1, template windows with the values of their slots by place, null for words."""
-    own = hashed(benchmark.select(F.col("item_id"), tokens_of(F.col("text")).alias("tokens")))
-    values = F.transform(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: F.when(F.substring(x, 1, 1) <= UNIT, x))
-    forms = own.select("item_id", "tokens", F.posexplode(template_windows()).alias("ipos", "window")).select("item_id", "ipos", "window", values.alias("slots"), F.lit(1).alias("form"))
+    """(item_id, ipos, window, slots, form): plain windows, with form 0, and template windows, with form 1 and the values of their slots by place, null for words.
+
+    A template window without slots is the plain one, and is there as both.
+    """
+    own = hashed(benchmark.select("item_id", F.col("text")), "item_id")
     words = own.select("item_id", F.posexplode(plain_windows()).alias("ipos", "window"), F.lit(None).cast("array<string>").alias("slots"), F.lit(0).alias("form"))
-    return forms.unionByName(words)
+    typed = own.select("item_id", "tokens", F.explode(template_windows()).alias("w")).select("item_id", F.col("w.pos").alias("ipos"), F.col("w.window").alias("window"), slots_at(F.col("w.pos")).alias("slots"), F.lit(1).alias("form"))
+    # Tokens and words stand at other places where names of several words come before: windows of bare tokens are made anew.
+    bare = F.filter(F.sequence(F.lit(0), F.size("tokens") - WINDOW), lambda i: ~F.exists("slots", lambda s: s.between(i, i + (WINDOW - 1))))
+    bare = own.filter(F.size("tokens") >= WINDOW).select("item_id", "tokens", F.explode(bare).alias("ipos"))
+    window = F.xxhash64(*(_value(F.element_at("tokens", F.col("ipos") + k)) for k in range(1, WINDOW + 1)))
+    return words.unionByName(typed).unionByName(bare.select("item_id", "ipos", window.alias("window"), F.lit(None).cast("array<string>").alias("slots"), F.lit(1).alias("form")))
 
 
 def probes(both: DataFrame, sizes: DataFrame, met: DataFrame, least: float) -> DataFrame:
@@ -124,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     both = scratch.save(items.groupBy("item_id", "window").agg(F.max("form").alias("form"), F.max(1 - F.col("form")).alias("word")), "windows")
     sizes = scratch.save(both.groupBy("item_id").agg(F.sum("form").alias("n_form"), F.sum("word").alias("n_word")), "sizes")
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spread = hashed(known.select("doc_id", tokens_of(F.col("text")).alias("tokens"))).select("doc_id", F.explode(all_windows()).alias("window"))
+    spread = hashed(known, "doc_id").select("doc_id", F.explode(all_windows()).alias("window"))
     met = scratch.save(spread.join(sized(both.select("window").distinct()), "window", "left_semi").distinct(), "met")
     pairs = scratch.save(met.join(sized(probes(both, sizes, met, least)), "window").select("doc_id", "item_id").distinct(), "pairs")
     counted = pairs.join(sized(both), "item_id").join(met, ["doc_id", "window"]).groupBy("doc_id", "item_id").agg(F.sum("form").alias("form"), F.sum("word").alias("word"))
@@ -133,7 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     out = lambda x: x.select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"))
     as_words = close.select("doc_id", "item_id", F.col("n_word").alias("n_windows"), F.col("word").alias("n_found"))
     as_forms = close.select("doc_id", "item_id", F.col("n_form").alias("n_windows"), F.col("form").alias("n_found"))
-    slotted = items.filter((F.col("form") == 1) & F.exists("slots", lambda x: x.isNotNull())).select("item_id", "ipos", "window", "slots")
+    slotted = items.filter("slots is not null").select("item_id", "ipos", "window", "slots")
     if slotted.isEmpty():
         return out(as_words)
     asked = close.filter(F.col("form") >= least * F.col("n_form"))
@@ -151,11 +160,8 @@ def inconsistent(known: DataFrame, close: DataFrame, slotted: DataFrame, scratch
     """
     with_slots = close.join(sized(slotted.select("item_id").distinct()), "item_id", "left_semi").select("doc_id", "item_id")
     ids = with_slots.select("doc_id").distinct()
-    held = known.join(sized(ids), "doc_id", "left_semi").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
-    held = hashed(held).select("doc_id", "tokens", template_windows().alias("windows"))
-    marks = F.transform("tokens", lambda x: F.when(F.substring(x, 1, 1) <= UNIT, x))
-    placed = F.transform("windows", lambda w, i: F.struct(i.alias("pos"), w.alias("window"), F.lit(None).cast("string").alias("none")))
-    cut = held.withColumn("marks", marks).select("doc_id", "marks", F.explode(placed).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"), F.slice("marks", F.col("w.pos") + 1, WINDOW).alias("values"))
+    held = hashed(known.join(sized(ids), "doc_id", "left_semi"), "doc_id")
+    cut = held.select("doc_id", "tokens", F.explode(template_windows()).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"), slots_at(F.col("w.pos")).alias("values"))
     met = with_slots.join(sized(slotted), "item_id").join(cut, ["doc_id", "window"])
     each = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), F.explode(F.arrays_zip("slots", "values")).alias("s")).filter("s.slots is not null and s.values is not null")
     each = each.select("doc_id", "item_id", "shift", F.col("s.slots").alias("theirs"), F.col("s.values").alias("ours")).distinct()
