@@ -65,8 +65,14 @@ _KINDS = {
     "person": rf"(?<![^\W_])(?:{_TITLE}(?:\.?[ \n]{_TITLE}){{0,2}}\.?[ \n](?:{_PARTICLE} ){{0,3}}(?:{_INITIAL}|{_NAME}){_MORE}*+|(?:{_FIRST_NAMES})(?!{_LETTER})(?:\n(?!(?:{_NOT_NAMES})(?!{_LETTER})){_NAME}|{_MORE}){_MORE}*+)",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
-#: A text without any of these has no entity: cheaper than the pattern.
-_HINT = re.compile(rf"[0-9@]|{_TITLE}\.?[ \n]|(?:{_FIRST_NAMES})[ \n]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA|[a-f]{{32}}|[A-F]{{32}}")
+#: A text without any of these has no entity: cheaper than the pattern, and what each begins with is cheaper still.
+_HINT = re.compile(rf"{_TITLE}\.?[ \n]|(?:{_FIRST_NAMES})[ \n]|(?:sk|pk|ghp|xox[bp])[-_]|AKIA")
+_BEGINS = [*FEMALE, *MALE, *_TITLES, *_OTHERS, "M.", "Fr.", "Sr.", "sk-", "sk_", "pk-", "pk_", "ghp-", "ghp_", "xoxb", "xoxp", "AKIA"]
+_SIGN, _LETTERS_ALONE = re.compile("[0-9@]"), re.compile("[a-f]{32}|[A-F]{32}")
+
+
+def hinted(text: str) -> bool:
+    return bool(_SIGN.search(text) or any(map(text.__contains__, _BEGINS)) and _HINT.search(text) or _LETTERS_ALONE.search(text))
 
 
 #: Characters that are permuted as one number, and rounds of the network.
@@ -276,7 +282,7 @@ def distinct(key: bytes, kind: str, text: str, seen: dict[tuple[str, str], str])
 def replace(text: str, key: bytes, seen: dict[tuple[str, str], str] | None = None) -> tuple[str, dict[str, int]]:
     """The text with surrogates, and how many of each type. seen: see distinct; kept over texts, it keeps their entities apart."""
     counts: dict[str, int] = {}
-    if not _HINT.search(text):
+    if not hinted(text):
         return text, counts
     known = {} if seen is None else seen
 
