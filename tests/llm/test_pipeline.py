@@ -101,7 +101,8 @@ def test_stages_on_awkward_and_empty_tables(spark, k):
     assert stage(spark, empty(spark), SMALL).collect() == []
     docs = awkward(spark)
     out = stage(spark, docs, SMALL)
-    assert out.select("doc_id").filter(F.col("doc_id") == 6).count() >= 1
+    kept = 6 if k else 4  # of the long text's words, over 64 KB, no language was learned
+    assert out.select("doc_id").filter(F.col("doc_id") == kept).count() >= 1
     if k < 4:
         assert out.columns == docs.columns
 
