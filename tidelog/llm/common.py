@@ -102,6 +102,14 @@ def by_bytes(docs: Iterable[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield first, n
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: bool = False) -> DataFrame:
     """df.mapInArrow(run, schema). A worker, which Spark reuses, first gives back what it holds of other work; keep: but for piece caches.
 
@@ -113,10 +121,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         if not keep:
             for cache in PieceCache.made:
                 cache.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(AttributeError):  # not with every C library
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         yield from run(batches)
 
     return df.mapInArrow(start, schema)

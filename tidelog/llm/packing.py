@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import SLICE_BYTES, PieceCache, Scratch, by_bytes, cut, mapped, texts
+from tidelog.llm.common import PieceCache, Scratch, by_bytes, cut, give_back, mapped, texts
 
 _caches: dict[tuple[str, bool], PieceCache] = {}
+#: Texts whose words are told apart at once; arrays of several times as many bytes are made of them.
+SLICE_BYTES = 1 << 20
 
 
 #: A run of letters, then a run of marks: what the vocabulary's pre-tokeniser makes of such a word is these two parts, the
@@ -151,7 +153,8 @@ def _cache(tokenizer: str, plain: bool) -> PieceCache:
             ids = iter(merges([w for w in words if w not in apart]))
             return [apart[w] if w in apart else next(ids) for w in words]
 
-        _caches[tokenizer, plain] = PieceCache(encode)
+        _caches[tokenizer, plain] = PieceCache(encode, 16 << 20, 200_000)
+        give_back()  # what was read of the file
     return _caches[tokenizer, plain]
 
 
