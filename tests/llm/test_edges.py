@@ -256,6 +256,25 @@ def test_suffix_dedup_of_hot_strings(spark, monkeypatch, hot):
     assert out == covered(list(enumerate(texts)))
 
 
+def test_suffix_dedup_carries_equal_spans_once(spark, monkeypatch):
+    """A passage in many documents: of its spans, refining carries on the different ones, not a row for each window of each document."""
+    import random
+
+    r = random.Random(10)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = letters(300)
+    texts = [letters(60) + passage + letters(60) for _ in range(300)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    made, save = {}, suffix_dedup.Scratch.save
+    monkeypatch.setattr(suffix_dedup.Scratch, "save", lambda self, df, name: made.setdefault(name, save(self, df, name)))
+    out = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.suffix_dedup(docs_of(spark, texts)).collect()}
+    assert out == covered(list(enumerate(texts)))
+    undecided = made["found"].filter(F.col("kind") == suffix_dedup.OPEN).count()
+    carried = sum(df.filter(F.col("packed").bitwiseAND(15) != suffix_dedup.GONE).count() for name, df in made.items() if name.startswith("halves-"))
+    assert undecided >= 600
+    assert 0 < carried <= 8 * undecided
+
+
 @pytest.mark.parametrize("seed", [6, 7])
 def test_substring_dedup_of_a_corpus(spark, seed):
     """Of one batch: the earliest place in it is the earliest of all."""

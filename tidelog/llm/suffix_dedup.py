@@ -13,7 +13,8 @@ that q-gram, and only suffixes of one bucket are ever compared:
    the next; a bucket of one is done. After 100 bytes a bucket is a repeated string, and all but its first place go.
 4. A bucket of more than HOT undecided spans is refined before it is met: it falls into two by where the q-gram stands in
    a window, and each of these by the bytes that all such windows have around it, and so on while it holds more than
-   HOT. At the last such step a bucket's windows are one string, whose first place is a minimum of places.
+   HOT. Of a bucket's equal spans only the first is carried on, and the others go whole. At the last such step a bucket's
+   windows are one string, so that one is left.
 
 Each step is exact up to 128 bits of hash; nothing is dropped or capped.
 """
@@ -21,8 +22,9 @@ Each step is exact up to 128 bits of hash; nothing is dropped or capped.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -297,12 +299,13 @@ def _opened(out: list[tuple]) -> pa.RecordBatch:
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of buckets as spans of the two buckets that each falls into: windows with few, and with many, bytes before the q-gram.
 
-    A bucket is named by its parent and by the bytes that all its windows have, whatever else a span has.
+    A bucket is named by its parent and by the bytes that all its windows have, whatever else a span has. Spans made
+    together that are alike are settled here, before the shuffle.
     """
     from xxhash import xxh3_64_intdigest
 
+    out: list[tuple] = []
     for b in batches:
-        out: list[tuple] = []
         for gram, lo, hi, doc, packed, raw in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
             place, off, n, middle = packed >> 20, packed >> 12 & 255, packed >> 4 & 255, (lo + hi) // 2
             for low, high in ((lo, middle), (middle + 1, hi)):
@@ -311,26 +314,32 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     name = xxh3_64_intdigest(b"%d %d %d " % (gram, low, high) + raw[off - low : off - high + LENGTH])
                     out.append((name - (name >> 63 << 64), low, high, doc, place + begin << 20 | off - begin << 12 | end - begin + 1 << 4, raw[begin : end + LENGTH]))
             if len(out) >= 20_000:
-                yield _opened(out)
+                yield _opened(_settled(sorted(out, key=_IN_ORDER)))
                 out = []
-        yield _opened(out)
+    yield _opened(_settled(sorted(out, key=_IN_ORDER)))
+
 
+_IN_ORDER = itemgetter(0, 5, 3, 4)  # bucket, bytes, place
 
-_DIGESTS = "d1 long, d2 long, doc_id long, start long"
 
+def _settled(rows: Iterable[tuple], last: tuple = ()) -> list[tuple]:
+    """Rows in order, behind one with the bucket and bytes of `last`: of those alike, all but the first are GONE and need their bytes no more."""
+    out = []
+    for gram, lo, hi, doc, packed, raw in rows:
+        alike = last == (gram, raw)
+        last = gram, raw
+        out.append((gram, lo, hi, doc, packed | GONE, b"") if alike else (gram, lo, hi, doc, packed, raw))
+    return out
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans, of which those are GONE that come earlier in their bucket."""
+    last: tuple = ()
     for b in batches:
-        for a in range(0, b.num_rows, 1024):
-            own = b.slice(a, 1024)
-            packed = own.column("packed").to_numpy()
-            n = packed >> 4 & 255
-            made = b"".join(xxh3_128_digest(raw[i : i + LENGTH]) for raw, k in zip(own.column("bytes").to_pylist(), n.tolist(), strict=True) for i in range(k))
-            both = np.frombuffer(made, np.int64).reshape(-1, 2)
-            at = np.arange(len(both)) - np.repeat(np.cumsum(n) - n, n)
-            yield _batch([both[:, 0].copy(), both[:, 1].copy(), np.repeat(own.column("doc_id").to_numpy(), n), np.repeat(packed >> 20, n) + at], _DIGESTS)
+        rows = list(zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True))
+        if rows:
+            yield _opened(_settled(rows, last))
+            last = rows[-1][0], rows[-1][5]
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -339,31 +348,26 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = runs.repartition(F.when(F.col("packed").bitwiseAND(15) == RUN, F.col("gram")).otherwise(F.xxhash64("doc_id", "packed")))
     found = scratch.save(mapped(dealt.sortWithinPartitions("gram", "span", "doc_id", "packed"), _judge, _FOUND), "found")
     begin = F.shiftright("packed", 20)
-    gone = found.filter(F.col("kind") == GONE).select("doc_id", begin.alias("begin"), (begin + F.shiftright("packed", 4).bitwiseAND(255) + LENGTH - 1).alias("end"))
+    places = begin.alias("begin"), (begin + F.shiftright("packed", 4).bitwiseAND(255) + LENGTH - 1).alias("end")
+    gone = found.filter(F.col("kind") == GONE).select("doc_id", *places)
     still = found.filter(F.col("kind") == OPEN).select("doc_id", "packed", "gram")
     lists = scratch.save(still.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "packed")).alias("list")), "open")
     rows = mapped(with_spans(docs, lists, "inner"), _fetch, _OPENED)
-    hot, cool, turn = _hot(still, scratch, 0), [], 0
-    while not hot.isEmpty():
-        rows, turn = scratch.save(rows, f"opened-{turn}"), turn + 1
-        cool.append(rows.join(sized(hot), "gram", "left_anti"))
-        rows = rows.join(sized(hot), "gram", "left_semi").select(*(x.split()[0] for x in _OPENED.split(", ")))
-        if turn > (LENGTH - Q).bit_length():  # every bucket is one string now
-            break
-        rows = scratch.save(mapped(rows, _halves, _OPENED), f"halves-{turn}")
+    hot, cool, turn, is_gone = _hot(still, scratch, 0), [], 0, F.col("packed").bitwiseAND(15) == GONE
+    # After so many turns every bucket is one string, of which one span is left.
+    while turn < (LENGTH - Q).bit_length() and not hot.isEmpty():
+        rows, turn, hot = rows if turn else scratch.save(rows, "opened"), turn + 1, sized(hot)
+        cool.append(rows.join(hot, "gram", "left_anti"))
+        rows = rows.join(hot, "gram", "left_semi").select(*(x.split()[0] for x in _OPENED.split(", ")))
+        halves = mapped(rows, _halves, _OPENED).repartition(F.when(is_gone, F.xxhash64("doc_id", "packed")).otherwise(F.xxhash64("gram", "bytes")))
+        halves = scratch.save(mapped(halves.sortWithinPartitions("gram", "bytes", "doc_id", "packed"), _alike, _OPENED), f"halves-{turn}")
+        gone = gone.unionByName(halves.filter(is_gone).select("doc_id", *places))
+        rows = halves.filter(~is_gone)
         hot = _hot(rows, scratch, turn)
-    else:
-        cool.append(rows)
-        rows = None
+    cool.append(rows)
     compared = reduce(DataFrame.unionByName, (x.select("gram", "doc_id", "packed", "bytes") for x in cool))
     met = mapped(compared.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
-    out = gone.unionByName(scratch.save(met, "met"))
-    if rows is not None:
-        spread = scratch.save(mapped(rows, _windows, _DIGESTS), "windows")
-        first = spread.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        late = spread.join(first, ["d1", "d2"]).filter(F.struct("doc_id", "start") > F.col("first"))
-        out = out.unionByName(late.select("doc_id", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
-    return out
+    return gone.unionByName(scratch.save(met, "met"))
 
 
 def _hot(rows: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
